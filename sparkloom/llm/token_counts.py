@@ -80,6 +80,10 @@ class TokenCounter:
     _odd = re.compile("[\x1c-\x1f\u0558-\u1fff\u2065-\U0010ffff]")
 
     def __init__(self, path: str, limit: int = 300_000, longest: int = 256):
+        import os
+
+        # One thread: the other cores have tasks of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
