@@ -91,3 +91,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_owner: list[str] = []
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Notes that a worker process keeps a cache for operator ``name``."""
+    _held[name] = clear
+
+
+def release_others(name: str) -> None:
+    """Worker processes are used again by other operators: the first task of one frees what the
+    others keep there."""
+    if _owner != [name]:
+        _owner[:] = [name]
+        for other, clear in _held.items():
+            if other != name:
+                clear()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import mix64, shuffle_partitions, staged
+from sparkloom.llm._common import mix64, release_others, shuffle_partitions, staged
 from sparkloom.llm.components import components
 
 _SCHEMA = "batch long, bucket int, kind int, hashes binary, docs binary"
@@ -189,7 +189,8 @@ def join_sets(
     the smallest id of equal sets represents them. Nothing is sampled, capped or dropped.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    # A bucket is what one task holds at once, so there are more of them than tasks.
+    buckets = 4 * shuffle_partitions(spark)
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def deal(wide: bool):
@@ -198,10 +199,11 @@ def join_sets(
 
             from sparkloom.llm.shingles import shingle_sets
 
+            release_others("jaccard")
             number = TaskContext.get().partitionId() << 32
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
                     ids = part.column(0).to_pylist()
                     keep = [k for k, i in enumerate(ids) if i is not None]
                     texts = part.column(1).to_pylist()
@@ -280,7 +282,7 @@ def join_sets(
     # A block meets every other: document copies as many as blocks, 1 for ordinary regions.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    group = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(64 * buckets)))
+    group = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(16 * buckets)))
 
     def join_group(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []

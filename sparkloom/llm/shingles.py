@@ -18,7 +18,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "n" not in _powers or len(_powers["n"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             _powers["n"] = np.cumprod(np.full(size, _BASE), dtype=np.uint64)
             _powers["b"] = np.cumprod(np.full(size, _BACK), dtype=np.uint64)
@@ -60,7 +60,7 @@ def _sets(data: bytes, lengths: list[int], width: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, chunk: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 5, chunk: int = 1 << 18) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of each text (A-Z lower-cased,
     words ``[^\\x20\\x09-\\x0D]+``): with fewer words the whole sequence is one shingle, without
     words there is none. Texts are worked on in chunks of about ``chunk`` bytes."""

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import arrow_rows
+from sparkloom.llm._common import arrow_rows, hold
 
 _NONE = np.int64(1 << 40)
 #: Fixed value: the splitting rule of byte-level BPE vocabularies of this family.
@@ -144,6 +144,7 @@ class TokenCounter:
 
 @lru_cache(maxsize=2)
 def token_counter(path: str) -> TokenCounter:
+    hold("token_counts", token_counter.cache_clear)
     return TokenCounter(path)
 
 
