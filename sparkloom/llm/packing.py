@@ -39,11 +39,12 @@ def cut(n: int, size: int, slack: float) -> list[int]:
 
 def pieces(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-    size: int = 2048, slack: float = 1 / 64, with_ids: bool = False,
+    size: int = 2048, slack: float = 1 / 64, with_ids: bool = False, cache: int = 350_000,
 ) -> DataFrame:
     """One row for each piece of each document; ``with_ids`` adds the ids themselves.
 
-    A null or empty text has the end id alone. Texts are encoded where they are read.
+    A null or empty text has the end id alone. ``cache`` bounds the chunks whose ids a worker keeps:
+    fewer take less memory and more CPU. Texts are encoded where they are read.
     """
     end = np.asarray([end_id], "<u4").tobytes()
 
@@ -51,7 +52,7 @@ def pieces(
         from sparkloom.llm.tokens import chunk_encoder
 
         out: list[list] = [[] for _ in range(5 + with_ids)]
-        for doc, b in zip(cols[0], chunk_encoder(tokenizer_path).encode(cols[1])):
+        for doc, b in zip(cols[0], chunk_encoder(tokenizer_path, cache).encode(cols[1])):
             b += end
             n, at = len(b) // 4, 0
             for length in cut(n, size, slack):

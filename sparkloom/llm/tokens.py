@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from sparkloom.llm._common import hold
+
 
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
@@ -122,7 +124,8 @@ class ChunkEncoder:
         return [b"".join(map(get, w)) if w is not None else self._library([t])[0] for t, w in zip(texts, chunks)]
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process and tokenizer file."""
-    return ChunkEncoder(path)
+@lru_cache(maxsize=1)
+def chunk_encoder(path: str, limit: int = 350_000) -> ChunkEncoder:
+    """One encoder for each worker process; ``limit`` chunks take about a quarter of a KB each."""
+    hold("tokens", chunk_encoder.cache_clear)
+    return ChunkEncoder(path, limit)
