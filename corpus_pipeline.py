@@ -47,7 +47,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1)
+    # A small cache: other stages' workers need the memory too.
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, cache=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
