@@ -192,11 +192,11 @@ def _calls(ts: list[Token]) -> str:
                 if depth == 0:
                     break
             elif ts[j].text == "," and depth == 1:
-                args.append(_calls(ts[start:j]))
+                args.append(_calls(ts[start:j]).strip())
                 start = j + 1
             j += 1
-        last = _calls(ts[start:j])
-        if last.strip() or args:
+        last = _calls(ts[start:j]).strip()
+        if last or args:
             args.append(last)
         if isinstance(template, dict):
             template = template.get(len(args))
