@@ -110,8 +110,16 @@ def manifest() -> dict:
     }
 
 
+_engines: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    e = Engine(spark)
+    """An engine over the test tables; the latest is kept, as a session keeps its engine."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _engines and _engines[key].spark is spark:
+        return _engines[key]
+    _engines.clear()
+    e = _engines[key] = Engine(spark)
     for t in TABLES:
         e.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     return e.load(manifest())
