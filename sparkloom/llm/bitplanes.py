@@ -18,14 +18,15 @@ CHUNK_SCHEMA = (
 )
 
 
-def pack_block(ids: np.ndarray, mode: str, level: int = 3) -> tuple[bytes, list[int]]:
+def pack_block(ids: np.ndarray, mode: str, level: int = 1) -> tuple[bytes, list[int]]:
     """Planes of one block: ``byte`` has 4 planes of n bytes, ``bit`` 32 planes of n/8 bytes; a
     plane of zeros is stored with size 0."""
     import zstandard
 
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    top = int(ids.max()) if len(ids) else 0
     if mode == "byte":
-        planes = [raw[:, k].tobytes() for k in range(4)]
+        planes = [raw[:, k].tobytes() if top >> (8 * k) else b"" for k in range(4)]
     elif mode == "bit":
         bits = np.unpackbits(raw, axis=1, bitorder="little")
         planes = [np.packbits(bits[:, k], bitorder="little").tobytes() for k in range(32)]
@@ -40,18 +41,23 @@ def unpack_block(data: bytes, sizes: list[int], n: int, mode: str) -> np.ndarray
     import zstandard
 
     z, at, planes = zstandard.ZstdDecompressor(), 0, []
-    width = n if mode == "byte" else -(-n // 8)
+    if mode == "byte":
+        out = np.zeros((n, 4), np.uint8)
+        for k, size in enumerate(sizes):
+            if size:
+                out[:, k] = np.frombuffer(z.decompress(data[at : at + size], max_output_size=n), np.uint8)
+            at += size
+        return out.view("<u4").ravel()
+    width = -(-n // 8)
     for size in sizes:
         p = z.decompress(data[at : at + size], max_output_size=width) if size else bytes(width)
         planes.append(np.frombuffer(p, np.uint8))
         at += size
-    if mode == "byte":
-        return np.stack(planes, axis=1).copy().view("<u4").ravel()
     bits = np.stack([np.unpackbits(p, count=n, bitorder="little") for p in planes], axis=1)
     return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def pack_ids(ids: np.ndarray, mode: str = "byte", block: int = 65_536, level: int = 3) -> tuple[bytes, list[int]]:
+def pack_ids(ids: np.ndarray, mode: str = "byte", block: int = 65_536, level: int = 1) -> tuple[bytes, list[int]]:
     """A chunk: its fixed-size blocks (the last may be short), planes one after the other."""
     data, sizes = [], []
     for at in range(0, len(ids), block):
@@ -73,7 +79,7 @@ def unpack_ids(data: bytes, sizes: list[int], n: int, mode: str = "byte", block:
 def write_ids(
     docs: DataFrame, tokenizer_path: str, path: str, *, id_col: str = "doc_id", text_col: str = "text",
     end_id: int = 2, shards: int | None = None, chunk_ids: int = 262_144, block: int = 65_536,
-    mode: str = "byte", level: int = 3,
+    mode: str = "byte", level: int = 1,
 ) -> None:
     """Encodes every text and writes ids in ascending ``id_col`` order.
 
