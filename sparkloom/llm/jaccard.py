@@ -150,7 +150,10 @@ class SetJoin:
             near = live & (100 * both >= self.percent * union)
             near[p] = True
             # Distance 1 - both/union <= 2t with t = 1 - percent/100.
-            ring = live & ~near & (100 * both >= (2 * self.percent - 100) * union) & (both > 0)
+            ring = live & ~near & (100 * both >= (2 * self.percent - 100) * union)
+            if self.percent > 50:
+                # Below that the window is the whole space: sets that share nothing lie in it too.
+                ring &= both > 0
             cell = np.flatnonzero(near)
             for x in cell.tolist():
                 self.link(p, x)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm import (
     ann, bitplanes, jaccard, mixing, packing, pii, quality_classifier, quality_rules, secrets, token_counts,
@@ -46,7 +47,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_read(spark, sf_dir, "documents"))
+    seen = quality_rules.judge(_read(spark, sf_dir, "documents"))
+    # Means add up in another order on every run: the last digits are no result.
+    return seen.withColumn("js_char", F.round("js_char", 6)).withColumn("js_word", F.round("js_word", 6))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,5 +128,55 @@ FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id
 """
 
 
+def _quality_sql() -> str:
+    """Histograms as (document, place, count) rows; divergences as sums over the places."""
+    count = lambda p: "length(t) - length(regexp_replace(t, '" + p.replace("'", "''") + "', '', 'g'))"
+    classes = ", ".join(f"{count(p)} AS c_{k}" for k, p in quality_rules.CLASSES.items())
+    named = [f"c_{k}" for k in quality_rules.CLASSES]
+    lists = ", ".join(f"('{k}', {list(v)})" for k, v in quality_rules.COMMON_WORDS.items())
+    js = lambda name, rows: f"""{name} AS (
+  SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS js
+  FROM (SELECT doc_id, c / sum(c) OVER (PARTITION BY doc_id) AS p, r / sum(r) OVER (PARTITION BY doc_id) AS q FROM {rows})
+  GROUP BY doc_id)"""
+    return f"""WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM d, unnest(range(1, len(w) - 1)) u(i)
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, lang, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS n_text,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, {classes} FROM d
+), base AS (
+  SELECT c.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed,
+    [{", ".join(named)}, n_text - word_chars, word_chars - {" - ".join(named)}] AS char_hist
+  FROM counts c LEFT JOIN covered USING (doc_id)
+), chars AS (
+  SELECT doc_id, lang, base_failed, n_text, unnest(char_hist)::DOUBLE AS c, unnest(range(len(char_hist))) AS k FROM base
+), own_char AS (
+  SELECT lang, k, avg(c / n_text) AS r FROM chars WHERE NOT base_failed GROUP BY lang, k HAVING count(*) >= 20
+), all_char AS (
+  SELECT k, avg(c / n_text) AS r FROM chars WHERE NOT base_failed GROUP BY k
+), {js("js_char", "(SELECT doc_id, c, coalesce(o.r, a.r) AS r FROM chars JOIN all_char a USING (k) LEFT JOIN own_char o USING (lang, k) WHERE n_text > 0)")},
+own(lang, list) AS (VALUES {lists}), hits AS (
+  SELECT doc_id, lang, base_failed, n_words, [len(list_filter(w, lambda x: lower(x) = y)) FOR y IN list] AS h FROM base JOIN own USING (lang)
+), words AS (
+  SELECT doc_id, lang, base_failed, n_words, unnest(list_append(h, n_words - list_sum(h)))::DOUBLE AS c, unnest(range(len(h) + 1)) AS k FROM hits
+), own_word AS (
+  SELECT lang, k, avg(c / n_words) AS r FROM words WHERE NOT base_failed GROUP BY lang, k HAVING count(*) >= 20
+), {js("js_word", "words JOIN own_word USING (lang, k) WHERE n_words > 0")}
+SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(c.js, 0) <= 0.25 AND coalesce(o.js, 0) <= 0.55 AND coalesce(c.js, 0) + coalesce(o.js, 0) <= 0.38 AS kept,
+  round(coalesce(c.js, 0), 6) AS js_char, round(coalesce(o.js, 0), 6) AS js_word
+FROM base b LEFT JOIN js_char c USING (doc_id) LEFT JOIN js_word o ON o.doc_id = b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_secrets": _secrets_sql(), "op10_jaccard_join": JACCARD_SQL}
+    return {
+        "op6_quality_rules": _quality_sql(), "op9_secrets": _secrets_sql(), "op10_jaccard_join": JACCARD_SQL,
+    }
