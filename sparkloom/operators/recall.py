@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.plans.manifest import Manifest
 
@@ -69,3 +73,62 @@ def seed_queries(m: Manifest) -> list[tuple[str, str]]:
         a, b = r.models
         out.append((f"{a} with {b}", f"SELECT * FROM {a} JOIN {b} ON {r.condition} LIMIT 100"))
     return out
+
+
+#: A stored question; ``at`` orders the writes of a key, ``gone`` marks a forgotten one.
+PAIR = "key string, question string, sql string, datasource string, tags string, at long, gone boolean"
+
+
+class QueryMemory:
+    """Questions and their SQL in a folder of Parquet files that is only ever appended to: the last
+    write of a key counts, so readers never see a half-written state and need no lock."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _write(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, PAIR).coalesce(1).write.mode("append").parquet(self.path)
+
+    def _log(self) -> DataFrame:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return self.spark.read.schema(PAIR).parquet(self.path) if fs.exists(target) else self.spark.createDataFrame([], PAIR)
+
+    def store(self, question: str, sql: str, *, datasource: str = "", tags: str = "", key: str | None = None) -> str:
+        """Adds a pair, or replaces the one of ``key``; returns the key."""
+        if not question.strip() or not sql.strip():
+            raise ValueError("a question and its SQL are needed")
+        key = key or uuid.uuid4().hex
+        self._write([(key, question, sql, datasource, tags, time.time_ns(), False)])
+        return key
+
+    def list(self, *, datasource: str | None = None) -> DataFrame:
+        """The live pairs, newest first."""
+        row = F.struct(*[F.col(f.name) for f in T.StructType.fromDDL(PAIR).fields if f.name != "key"])
+        now = self._log().groupBy("key").agg(F.max_by(row, "at").alias("r")).select("key", "r.*").filter(~F.col("gone"))
+        now = now if datasource is None else now.filter(F.col("datasource") == datasource)
+        return now.drop("gone").orderBy(F.desc("at"), "key")
+
+    def count(self, *, datasource: str | None = None) -> int:
+        return self.list(datasource=datasource).count()
+
+    def forget(self, keys: list[str]) -> None:
+        """Pairs of these keys no longer count; unknown keys change nothing."""
+        if keys:
+            self._write([(k, None, None, None, None, time.time_ns(), True) for k in keys])
+
+    def recall(self, question: str, *, k: int = 3, datasource: str | None = None) -> DataFrame:
+        """The k pairs whose question shares most with the given one."""
+        return token_recall(self.list(datasource=datasource), question, text="question", k=k)
+
+    def dump(self, path: str) -> None:
+        """All live pairs as JSON lines."""
+        self.list().write.mode("overwrite").json(path)
+
+    def load(self, path: str, *, upsert: bool = True) -> None:
+        """Adds dumped pairs; known keys are replaced, or left alone without ``upsert``."""
+        rows = self.spark.read.schema(PAIR).json(path).filter(F.col("key").isNotNull())
+        if not upsert:
+            rows = rows.join(self.list().select("key"), "key", "left_anti")
+        rows = rows.select("key", "question", "sql", "datasource", "tags", F.lit(time.time_ns()).alias("at"), F.lit(False).alias("gone"))
+        rows.dropDuplicates(["key"]).write.mode("append").parquet(self.path)

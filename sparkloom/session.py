@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.functions.registry import install, translate
 from sparkloom.operators import cube as cubes
 from sparkloom.operators import graph as graphs
+from sparkloom.operators import graph_inspect, questions
 from sparkloom.operators import policy as policies
 from sparkloom.plans import access, exprs
 from sparkloom.plans.manifest import Manifest, ManifestError, load
@@ -143,3 +144,16 @@ class Engine:
 
     def graph_explain(self, request: dict[str, Any]) -> dict[str, Any]:
         return graphs.GraphPlanner(self.manifest, self.builder()).explain(request)
+
+    def ask(self, question: str, *, anchor: str | None = None, dates: tuple[str, str] | None = None, properties: dict[str, object] | None = None) -> DataFrame:
+        """Answers a question over global metrics and dimensions; unclear ones are errors."""
+        planner = graphs.GraphPlanner(self.manifest, self.builder(properties))
+        return planner.run(questions.resolve(planner, question, anchor=anchor, dates=dates).request)
+
+    def ask_cube(self, question: str, properties: dict[str, object] | None = None) -> DataFrame:
+        return self.cube_query(questions.resolve_cube(self.manifest, question), properties)
+
+    def inspect(self, query: str, parameters: dict[str, Any] | None = None, *, max_rows: int = 10_000) -> DataFrame:
+        """A read-only pattern query over the manifest's own graph."""
+        nodes, edges = graph_inspect.manifest_graph(self.spark, self.manifest)
+        return graph_inspect.inspect(nodes, edges, query, parameters, max_rows=max_rows)
