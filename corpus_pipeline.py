@@ -15,20 +15,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts. It is fitted on labelled documents of this input."""
+    """Documents that the rule ensemble accepts. It is fitted on labelled documents of this input;
+    without usable labels every document has the same score. Null texts are scored as empty ones."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.accepted(docs, model).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near copies."""
+    """The document of smallest id of each component of near copies. Rows of one id are one document
+    and stay together; rows without an id, and texts without words, have no copies."""
     found = jaccard.join_sets(docs)
     gone = staged(found.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret's span replaced."""
+    """All documents, with every secret's span replaced; null texts stay null."""
     seen = secrets.scan(docs, keep=("lang", "source", "text", "n_chars"))
     changed = F.size("found") > 0
     text = F.when(changed, secrets.redact(F.col("scanned_text"), F.col("found"))).otherwise(F.col("text"))
@@ -39,10 +41,21 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: once for each epoch, and once more if the fraction
-    of an epoch reaches them; those that it doesn't take go. Documents without words stay out."""
-    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(taken, "doc_id").select(*COLUMNS, times.alias("time")).select(*COLUMNS)
+    of an epoch reaches them; those that it doesn't take go. Documents without words stay out. Equal
+    rows are one after the other in the mix and come as often as it takes all of them together; a
+    row without an id is a row like any other."""
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    taken = mixing.mix(docs, keep=("row",)).filter("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("id"), "row").agg(
+        F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"), F.count(F.lit(1)).alias("equal")
+    )
+    taken = staged(taken.withColumnRenamed("row", "r"), "taken")
+    whose = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r"))
+    out = docs.join(taken.filter("equal = 1"), whose)
+    if taken.filter("equal > 1").limit(1).count():
+        # Only these rows are brought together, one left of each.
+        out = out.union(docs.join(taken.filter("equal > 1"), whose).dropDuplicates(["doc_id", "row"]))
+    return out.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def join_sets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
     most_broadcast: int = 1_000_000, region_shingles: int = 8_000_000,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
+    """doc_id, n_shingles, component_id for every row with an id.
 
     1. Texts become sets of shingle hashes where they lie. Equal sets are one class (distance 0),
        whose smallest id stands for it.
@@ -188,8 +188,8 @@ def join_sets(
        dealt into blocks and each pair of blocks joined as a task of its own; their links are
        merged by connected components.
 
-    Null and blank texts have no shingles and link with nothing; repeated ids are one document, and
-    the smallest id of equal sets represents them. Nothing is sampled, capped or dropped.
+    Null and blank texts have no shingles and link with nothing; rows without an id are left out, and
+    an empty table gives nothing. Repeated ids are one document, and the smallest id of equal sets represents them. Nothing is sampled, capped or dropped.
     """
     spark = docs.sparkSession
     # A bucket is what one task holds at once, so there are more of them than tasks.

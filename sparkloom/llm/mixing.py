@@ -45,9 +45,9 @@ def source_targets(
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 17,
-    rows_per_bucket: int = 20_000, most_broadcast: int = 100_000,
+    rows_per_bucket: int = 20_000, most_broadcast: int = 100_000, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs for every row.
+    """doc_id, size, source_size, target, taken, epochs (and ``keep`` columns) for every row.
 
     Each row draws u from a hash of (seed, id); its key -ln(u)/quality orders its source. A source
     takes all its documents for every whole epoch of its target, then documents in key order until
@@ -61,7 +61,7 @@ def mix(
     size = F.size(words(F.col(text_col))).cast("long")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        size.alias("size"), text_quality(F.col(text_col)).alias("quality"),
+        size.alias("size"), text_quality(F.col(text_col)).alias("quality"), *[F.col(c).alias(f"kept {c}") for c in keep],
     )
     rows = staged(rows, "sizes")
     totals = rows.groupBy("source").agg(
@@ -91,5 +91,5 @@ def mix(
     part = F.least(F.greatest(rest - F.col("base") - F.col("at"), F.lit(0)), F.col("size"))
     return x.select(
         "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"),
-        epochs.cast("int").alias("epochs"),
+        epochs.cast("int").alias("epochs"), *[F.col(f"kept {c}").alias(c) for c in keep],
     )

@@ -303,3 +303,41 @@ def test_pipeline(spark):
     clean = p.secret_scan(spark, docs, d)
     assert clean.count() == docs.count() and not any(plain_secrets(r.text or "") for r in clean.collect())
     assert p.run(spark, d).count() > 0
+
+
+def test_pipeline_odd_inputs(spark, odd, empty, tmp_path):
+    import corpus_pipeline as p
+
+    none = spark.createDataFrame([(None, "no id but words enough to be taken", "en", "s1", 3, 1, "x", 2, 3, 4)], SCHEMA)
+    rows = odd.union(none).union(none)
+    labels = spark.createDataFrame([(0, 1, 0), (3, 0, 0), (3, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    for name, stage in p.STAGES:
+        for df in (rows, empty):
+            got = stage(spark, df, d)
+            assert name == "packed" or got.columns == list(p.COLUMNS)
+            assert got.count() >= 0 and (df is rows or got.count() == 0), name
+    assert p.near_duplicates(spark, rows, d).count() == rows.count() - 1
+    clean = p.secret_scan(spark, rows, d)
+    assert clean.filter("text is null").count() == 1 and clean.count() == rows.count()
+    mixed = p.mixture(spark, rows, d).toPandas()
+    want = mixing.mix(rows).filter("taken > 0").selectExpr("doc_id", "cast(ceil(taken / size) as long) as n").groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
+    assert mixed.groupby("doc_id", dropna=False).size().sort_index().tolist() == want.sort_values("doc_id").n.tolist()
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, d).count() >= 0
+
+
+def test_op10_wide_windows(spark):
+    # At half or less, sets that share nothing lie in a pivot's window too.
+    rows = [(0, "a b c d e f g h"), (1, "a b c d e f x y"), (2, "z z d e f x y q"), (3, "m n o p q r s")]
+    for percent in (20, 30, 50):
+        got = {(r.doc_id, r.component_id) for r in jaccard.join_sets(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=percent).collect()}
+        sets = [{tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for _, t in rows]
+        root = list(range(4))
+        for _ in range(4):
+            for i in range(4):
+                for j in range(4):
+                    if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                        root[i] = root[j] = min(root[i], root[j])
+        assert got == set(enumerate(root)), percent
