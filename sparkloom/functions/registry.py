@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from sparkloom.plans.dialect import to_spark
 from sparkloom.plans.exprs import Token, tokens
 
 _SUM = "aggregate({}, 0D, (z_acc, z_e) -> z_acc + z_e)"
@@ -70,7 +71,9 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "safe_convert_bytes_to_string": "try_validate_utf8(cast({0} AS string))",
     # arrays
     "array_to_string": "array_join({*})", "string_to_array": "split({0}, concat('\\\\Q', {1}, '\\\\E'))",
-    "range": {1: "sequence(0, {0} - 1)", 2: "sequence({0}, {1} - 1)"}, "gen_series": "sequence({*})", "generate_array": "sequence({*})",
+    "range": {1: "if({0} > 0, sequence(0, {0} - 1), array())", 2: "if({0} < {1}, sequence({0}, {1} - 1), array())",
+              3: "filter(sequence({0}, {1}, {2}), z_e -> z_e <> {1})"},
+    "gen_series": "sequence({*})", "generate_series": {1: "sequence(0, {0})", 2: "sequence({0}, {1})", 3: "sequence({0}, {1}, {2})"}, "generate_array": "sequence({*})",
     "array_dims": "array(size({0}))", "array_concat": "concat({*})", "array_element": "try_element_at({0}, {1})",
     "array_pop_back": "slice({0}, 1, greatest(size({0}) - 1, 0))", "array_pop_front": "slice({0}, 2, size({0}))",
     "array_slice": "slice({0}, {1}, greatest({2} - {1} + 1, 0))", "array_any_value": "try_element_at(filter({0}, z_e -> z_e IS NOT NULL), 1)",
@@ -171,11 +174,15 @@ def _fill(template: str, args: list[str]) -> str:
 
 
 def _calls(ts: list[Token]) -> str:
-    out, k = [], 0
+    out, k, before = [], 0, ""
     while k < len(ts):
         t = ts[k]
         name = t.parts[-1].lower() if t.call else ""
         template = SCALAR.get(name) or AGGREGATE.get(name) if t.call and len(t.parts) == 1 else None
+        if t.text[0] in "`\"" or (name == "range" and before == "from"):
+            template = None  # A quoted name is Spark's own function; after FROM range is a table.
+        if t.kind not in ("space", "comment"):
+            before = t.text.lower()
         if template is None:
             out.append(t.text)
             k += 1
@@ -209,8 +216,9 @@ def _calls(ts: list[Token]) -> str:
 
 
 def translate(sql: str) -> str:
-    """The statement with every call that has a template rewritten, inner calls first."""
-    return _calls(tokens(sql))
+    """The statement or expression in Spark's syntax, with every call that has a template
+    rewritten, inner calls first."""
+    return _calls(tokens(to_spark(sql)))
 
 
 @dataclass(frozen=True)

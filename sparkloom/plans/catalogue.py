@@ -248,6 +248,21 @@ def _host_queries() -> dict[str, Pair]:
     }
 
 
+def _dialect_queries() -> dict[str, Pair]:
+    """Syntax that the engine turns into Spark's own."""
+    return {
+        "quoted_identifiers": _sem('SELECT "n_name" AS "Nation Name", n."n_regionkey" + 1 AS "r" FROM "nation" n WHERE "n_name" <> \'"x"\''),
+        "nulls_last_default": _sem("SELECT c_custkey, closed_count FROM customer ORDER BY closed_spend, c_custkey DESC LIMIT 25", "SELECT c_custkey, count(o_orderkey) AS closed_count FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY sum(o_totalprice) ASC NULLS LAST, c_custkey DESC LIMIT 25"),
+        "nulls_last_in_windows": _sem("SELECT k, row_number() OVER (ORDER BY v, k) AS up, row_number() OVER (ORDER BY v DESC, k) AS down FROM (SELECT c_custkey AS k, nullif(c_nationkey, 3) AS v FROM customer) t", "SELECT k, CAST(row_number() OVER (ORDER BY v NULLS LAST, k) AS INT) AS up, CAST(row_number() OVER (ORDER BY v DESC NULLS LAST, k) AS INT) AS down FROM (SELECT c_custkey AS k, nullif(c_nationkey, 3) AS v FROM customer) t"),
+        "unnest_beside_a_table": _sem("SELECT n_nationkey, x FROM nation, unnest(make_array(n_nationkey, n_regionkey, 7)) AS t(x)", "SELECT n_nationkey, x FROM (SELECT n_nationkey, unnest([n_nationkey, n_regionkey, 7]) AS x FROM nation)"),
+        "series_as_tables": _sem("SELECT a.v AS a, b.v AS b FROM generate_series(1, 9, 2) AS a(v) JOIN range(4, 9) AS b(v) ON a.v < b.v", "SELECT a.v AS a, b.v AS b FROM (SELECT unnest([1, 3, 5, 7, 9])::BIGINT AS v) a JOIN range(4, 9) AS b(v) ON a.v < b.v"),
+        "set_comparison": _sem("SELECT c_custkey, c_nationkey = ANY (SELECT s_nationkey FROM supplier) AS near FROM customer WHERE c_acctbal > ANY (SELECT s_acctbal FROM supplier WHERE s_nationkey < 5) AND c_acctbal <= ALL (SELECT s_acctbal + 9000 FROM supplier)", "SELECT c_custkey, c_nationkey IN (SELECT s_nationkey FROM supplier) AS near FROM customer WHERE c_acctbal > (SELECT min(s_acctbal) FROM supplier WHERE s_nationkey < 5) AND c_acctbal <= (SELECT min(s_acctbal) + 9000 FROM supplier)"),
+        "ordered_aggregates": _sem("SELECT c_mktsegment, array_to_string(array_agg(c_custkey ORDER BY c_nationkey DESC, c_custkey), ',') AS ids, string_agg(c_name, ';' ORDER BY c_custkey DESC) AS names, first_value(c_custkey ORDER BY c_acctbal DESC) AS richest, last_value(c_custkey ORDER BY c_acctbal DESC) AS poorest FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_nationkey DESC, c_custkey) AS ids, string_agg(c_name, ';' ORDER BY c_custkey DESC) AS names, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_mktsegment"),
+        "regex_operators_and_types": _sem("SELECT n_nationkey::varchar AS t, n_name ~ '1$' AS a, n_name !~ '1' AS b, n_name ~* 'nation_2' AS c, CAST(n_regionkey AS double precision) AS d, CAST(n_nationkey AS int8) AS e FROM nation", "SELECT n_nationkey::VARCHAR AS t, regexp_matches(n_name, '1$') AS a, NOT regexp_matches(n_name, '1') AS b, regexp_matches(n_name, 'nation_2', 'i') AS c, n_regionkey::DOUBLE AS d, n_nationkey::BIGINT AS e FROM nation"),
+        "information_schema": _sem("SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'guarded')", "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('region', 'r_name'), ('guarded', 'c_custkey'), ('guarded', 'c_name'), ('guarded', 'c_nationkey'), ('guarded', 'c_acctbal')) v(table_name, column_name)"),
+    }
+
+
 def _function_queries() -> dict[str, Pair]:
     return {
         "functions_text": _sem("SELECT n_nationkey, upper(n_name) AS u, concat(n_name, NULL, '-', n_nationkey) AS c, strpos(n_name, 'A') AS p, starts_with(n_name, 'A') AS s, ends_with(n_name, 'A') AS e, btrim('  x ') AS b, left(n_name, 2) AS l, right(n_name, 2) AS r, lpad(n_name, 12, '*') AS lp, reverse(n_name) AS rv, replace(n_name, 'A', 'b') AS rp, split_part(n_name, 'A', 1) AS sp, repeat('ab', 2) AS re, translate(n_name, 'AE', 'ae') AS tr, initcap(lower(n_name)) AS ic, chr(65) AS ch, ascii(n_name) AS a, octet_length(n_name) AS ol, levenshtein(n_name, 'CHINA') AS lv, to_hex(n_nationkey) AS hx FROM nation",
@@ -310,7 +325,7 @@ def _top_weight(spark: SparkSession, d: str) -> DataFrame:
 
 def _all() -> dict[str, Pair]:
     return {
-        **_model_queries(), **_cube_queries(), **_graph_queries(), **_host_queries(), **_function_queries(),
+        **_model_queries(), **_cube_queries(), **_graph_queries(), **_host_queries(), **_dialect_queries(), **_function_queries(),
         "vector_recall": (_nearest, "SELECT b.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 1 ORDER BY 2, 1 LIMIT 10"),
         "graph_question": (_graph_question, "SELECT r_name AS region_name, round(sum(o_totalprice), 2) AS order_revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
         "cube_question": (_cube_question, "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1"),

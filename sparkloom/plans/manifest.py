@@ -10,6 +10,8 @@ from typing import Any
 
 from pyspark.sql import types as T
 
+from sparkloom.functions.registry import translate
+
 LATEST_LAYOUT = 3
 
 
@@ -149,6 +151,8 @@ class Manifest:
     metrics: dict[str, dict] = field(default_factory=dict)
     dimensions: dict[str, dict] = field(default_factory=dict)
     graph: dict[str, Any] = field(default_factory=dict)
+    catalog: str = ""
+    schema: str = ""
 
     def model(self, name: str) -> Model:
         found = self.models.get(name) or next((m for k, m in self.models.items() if k.lower() == name.lower()), None)
@@ -197,11 +201,20 @@ def _closes(text: str) -> bool:
     return False
 
 
+def _own(sql: str | None) -> str | None:
+    """A statement or expression of the manifest in Spark's syntax."""
+    return translate(sql) if sql else None
+
+
+def _member(raw: dict) -> dict:
+    return raw | {"expression": _own(raw["expression"])} if raw.get("expression") else raw
+
+
 def _rule(raw: dict | None) -> AccessRule | None:
     if not raw:
         return None
     need = raw.get("requiredProperties") or []
-    return AccessRule(raw.get("name", ""), tuple(need), raw.get("condition", ""), raw.get("operator", ""), str(raw.get("threshold", "")))
+    return AccessRule(raw.get("name", ""), tuple(need), _own(raw.get("condition")) or "", raw.get("operator", ""), str(raw.get("threshold", "")))
 
 
 def load(source: str | dict) -> Manifest:
@@ -215,7 +228,7 @@ def load(source: str | dict) -> Manifest:
     for raw in source.get("models", []):
         cols = tuple(
             Column(
-                c["name"], c.get("type", "varchar"), c.get("expression") or None, flag(c.get("isCalculated")),
+                c["name"], c.get("type", "varchar"), _own(c.get("expression")), flag(c.get("isCalculated")),
                 c.get("relationship") or None, flag(c.get("isHidden")), flag(c.get("notNull")), _rule(c.get("columnLevelAccessControl")),
             )
             for c in raw.get("columns", [])
@@ -226,7 +239,7 @@ def load(source: str | dict) -> Manifest:
         key = raw.get("primaryKey") or ()
         key = (key,) if isinstance(key, str) else tuple(key)
         rules = tuple(_rule(r) for r in raw.get("rowLevelAccessControls", []))
-        models[raw["name"]] = Model(raw["name"], cols, table, raw.get("refSql") or None, key, rules, flag(raw.get("cached")))
+        models[raw["name"]] = Model(raw["name"], cols, table, _own(raw.get("refSql")), key, rules, flag(raw.get("cached")))
     rels = {}
     for raw in source.get("relationships", []):
         two = tuple(raw.get("models", ()))
@@ -238,11 +251,12 @@ def load(source: str | dict) -> Manifest:
         rels[raw["name"]] = Relationship(raw["name"], two, raw.get("joinType", "MANY_TO_ONE"), raw["condition"], pairs)
     cubes = {}
     for raw in source.get("cubes", []):
-        named = lambda k: {x["name"]: x["expression"] for x in raw.get(k, [])}  # noqa: E731, B023
+        named = lambda k: {x["name"]: _own(x["expression"]) for x in raw.get(k, [])}  # noqa: E731, B023
         cubes[raw["name"]] = Cube(raw["name"], raw["baseObject"], named("measures"), named("dimensions"), named("timeDimensions"), dict(raw.get("hierarchies") or {}))
     made = Manifest(
-        models, rels, {v["name"]: v["statement"] for v in source.get("views", [])}, cubes,
-        {m["name"]: m for m in source.get("metrics", [])}, {d["name"]: d for d in source.get("dimensions", [])}, source.get("graph") or {},
+        models, rels, {v["name"]: _own(v["statement"]) for v in source.get("views", [])}, cubes,
+        {m["name"]: _member(m) for m in source.get("metrics", [])}, {d["name"]: _member(d) for d in source.get("dimensions", [])}, source.get("graph") or {},
+        source.get("catalog") or "", source.get("schema") or "",
     )
     validate(made)
     return made

@@ -58,7 +58,7 @@ class Engine:
     def query(self, sql: str, limit: int | None = None, properties: dict[str, object] | None = None) -> DataFrame:
         """Runs SQL over models and views; at most ``limit`` rows if given."""
         builder = self.builder(properties)
-        sql = translate(sql)
+        sql = self._local(translate(sql))
         policies.check(self.spark, sql, self.policy, {*self.manifest.models, *self.manifest.views})
         self.audit.record({"event": "query", "sql": sql})
         text, views = [sql], dict(self.manifest.views)
@@ -81,6 +81,10 @@ class Engine:
             for name, df in built.items():
                 df.createOrReplaceTempView(exprs.quote(name))
                 made.append(name)
+            for name in ("tables", "columns"):
+                if f"information_schema_{name}" in used:
+                    self._catalog_rows(name, builder).createOrReplaceTempView(f"information_schema_{name}")
+                    made.append(f"information_schema_{name}")
             left = {k: v for k, v in self.manifest.views.items() if k.lower() in used}
             while left:
                 # Views over views: those whose own views exist come first.
@@ -97,6 +101,39 @@ class Engine:
                 self.spark.catalog.dropTempView(name)
         return out if limit is None else out.limit(limit)
 
+    def _local(self, sql: str) -> str:
+        """Names qualified by the manifest's catalog and schema, without them; the two tables of the
+        information schema by their local names."""
+        catalog, schema = self.manifest.catalog.lower(), self.manifest.schema.lower()
+        known = {k.lower() for k in (*self.manifest.models, *self.manifest.views)}
+
+        def strip(path: tuple[str, ...]) -> str | None:
+            low = [p.lower() for p in path]
+            if low[-2:] in (["information_schema", "tables"], ["information_schema", "columns"]):
+                return "_".join(low[-2:])
+            if catalog and schema and len(path) > 2 and low[:2] == [catalog, schema]:
+                return ".".join(exprs.quote(p) for p in path[2:])
+            if schema and len(path) > 1 and low[0] == schema and low[1] in known and schema not in known:
+                return ".".join(exprs.quote(p) for p in path[1:])
+            return None
+
+        return exprs.rewrite(sql, strip)
+
+    def _catalog_rows(self, what: str, builder: ModelBuilder) -> DataFrame:
+        """Rows of the information schema: models and views, or the models' visible columns."""
+        m = self.manifest
+        place = (m.catalog or "sparkloom", m.schema or "public")
+        if what == "tables":
+            rows = [(*place, n, "BASE TABLE") for n in m.models] + [(*place, n, "VIEW") for n in m.views]
+            return self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string")
+        rows = []
+        for n in m.models:
+            model = m.model(n)
+            for k, c in enumerate(builder.visible(model)):
+                col = model.column(c)
+                rows.append((*place, n, c, k, col.type, "NO" if col.not_null else "YES"))
+        return self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string")
+
     @staticmethod
     def _star(sql: str) -> bool:
         ts = [t for t in exprs.tokens(sql) if t.kind not in ("space", "comment")]
