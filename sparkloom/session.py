@@ -5,11 +5,12 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.functions.registry import install, translate
 from sparkloom.operators import cube as cubes
 from sparkloom.operators import graph as graphs
-from sparkloom.operators import graph_inspect, questions
+from sparkloom.operators import graph_inspect, partitions, questions
 from sparkloom.operators import policy as policies
 from sparkloom.plans import access, exprs
 from sparkloom.plans.manifest import Manifest, ManifestError, load
@@ -59,6 +60,10 @@ class Engine:
         """Runs SQL over models and views; at most ``limit`` rows if given."""
         builder = self.builder(properties)
         sql = self._local(translate(sql))
+        rules, latest = self.manifest.graph.get("partitions") or {}, set()
+        if self.policy.partitions:
+            latest = partitions.check(sql, rules)
+        sql = partitions.latest_terms(sql, rules)
         policies.check(self.spark, sql, self.policy, {*self.manifest.models, *self.manifest.views})
         self.audit.record({"event": "query", "sql": sql})
         text, views = [sql], dict(self.manifest.views)
@@ -77,7 +82,11 @@ class Engine:
                 need = seen if every else [c for c in seen if c.lower() in used]
                 # With no column named, as in count(*), one plain column carries the rows.
                 plain = [c for c in seen if not model.column(c).calculated]
-                built[name] = builder.build(name, need or plain[:1] or seen)
+                need = need or plain[:1] or seen
+                if name.lower() in latest:
+                    built[name] = self._latest(builder, name, need, rules[name]["column"])
+                else:
+                    built[name] = builder.build(name, need)
             for name, df in built.items():
                 df.createOrReplaceTempView(exprs.quote(name))
                 made.append(name)
@@ -101,6 +110,13 @@ class Engine:
                 self.spark.catalog.dropTempView(name)
         return out if limit is None else out.limit(limit)
 
+    @staticmethod
+    def _latest(builder: ModelBuilder, name: str, need: list[str], column: str) -> DataFrame:
+        """A snapshot model at its latest day; the right side is one row."""
+        df = builder.build(name, list(dict.fromkeys([*need, column])))
+        top = builder.build(name, [column]).agg(F.max(exprs.quote(column)).alias("_latest"))
+        return df.join(F.broadcast(top), df[exprs.quote(column)] == top["_latest"], "left_semi")
+
     def _local(self, sql: str) -> str:
         """Names qualified by the manifest's catalog and schema, without them; the two tables of the
         information schema by their local names."""
