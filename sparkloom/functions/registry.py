@@ -128,6 +128,8 @@ AGGREGATE: dict[str, str] = {
     "group_concat": "listagg({*})", "stddev": "stddev_samp({0})",
 }
 
+_WINDOW = frozenset("row_number rank dense_rank percent_rank cume_dist ntile lag lead nth_value".split())
+
 #: strftime letters in Spark's date patterns.
 _LETTERS = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "f": "SSSSSS", "Z": "z", "z": "xx", "%": "%"}
 #: Arrow type names where they differ from SQL's.
@@ -257,6 +259,18 @@ def available(spark: SparkSession) -> list[str]:
     return sorted(own | set(SCALAR) | set(AGGREGATE))
 
 
+def describe(spark: SparkSession, name: str) -> list[RemoteFunction]:
+    """Records of a callable name: the dialect's template, else Spark's own; none if it is unknown."""
+    low = name.lower()
+    if low in SCALAR or low in AGGREGATE:
+        return [RemoteFunction(low, "aggregate" if low in AGGREGATE else "scalar", "", description=str(SCALAR.get(low) or AGGREGATE[low]))]
+    if not spark.catalog.functionExists(low):
+        return []
+    text = "\n".join(r[0] for r in spark.sql(f"DESCRIBE FUNCTION EXTENDED `{low.replace('`', '``')}`").collect())
+    kind = "aggregate" if ".aggregate." in text else "window" if low in _WINDOW else "scalar"
+    return [RemoteFunction(low, kind, "", description=text.partition("Usage:")[2].strip())]
+
+
 def install(spark: SparkSession) -> None:
     """Registers what Spark lacks, as Arrow-batched pandas functions or SQL expressions."""
     import base64

@@ -13,6 +13,7 @@ from sparkloom.operators import graph as graphs
 from sparkloom.operators import graph_inspect, partitions, questions
 from sparkloom.operators import policy as policies
 from sparkloom.plans import access, exprs
+from sparkloom.plans import extract as extraction
 from sparkloom.plans.manifest import Manifest, ManifestError, load
 from sparkloom.plans.models import ModelBuilder
 
@@ -174,6 +175,13 @@ class Engine:
         """Analyses without running; the formatted schema."""
         return self.query(sql, properties=properties).schema.simpleString()
 
+    def used_tables(self, sql: str) -> list[str]:
+        return extraction.used_tables(self.spark, self.manifest, sql)
+
+    def extract(self, sql: str) -> Manifest:
+        """The least manifest that the statement can run with."""
+        return extraction.extract(self.spark, self.manifest, self.used_tables(sql))
+
     def explain(self, sql: str, properties: dict[str, object] | None = None) -> str:
         return self.query(sql, properties=properties)._jdf.queryExecution().toString()
 

@@ -85,7 +85,8 @@ CONNECTORS: dict[str, Callable[..., DataFrame]] = {
     "mysql": read_jdbc("com.mysql.cj.jdbc.Driver", "jdbc:mysql:"), "doris": read_jdbc("com.mysql.cj.jdbc.Driver", "jdbc:mysql:"),
     "mssql": read_jdbc("com.microsoft.sqlserver.jdbc.SQLServerDriver", "jdbc:sqlserver:"), "oracle": read_jdbc("oracle.jdbc.OracleDriver", "jdbc:oracle:"),
     "clickhouse": read_jdbc("com.clickhouse.jdbc.ClickHouseDriver", "jdbc:clickhouse:"), "trino": read_jdbc("io.trino.jdbc.TrinoDriver", "jdbc:trino:"),
-    "athena": read_jdbc("com.amazon.athena.jdbc.AthenaDriver", "jdbc:athena:"),
+    "athena": read_jdbc("com.amazon.athena.jdbc.AthenaDriver", "jdbc:athena:"), "canner": read_jdbc("org.postgresql.Driver", "jdbc:postgresql:"),
+    "maxcompute": read_jdbc("com.aliyun.odps.jdbc.OdpsDriver", "jdbc:odps:"),
     "bigquery": read_format("bigquery"), "snowflake": read_format("snowflake"), "databricks": read_native, "spark": read_native,
 }
 
