@@ -203,21 +203,18 @@ class SkipChainModel:
         return [x.base if x.base >= 0 else int(r.argmax()) - 1 if r.max() >= least else -1 for x, r in zip(nodes, p)]
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 400) -> SkipChainModel:
-    """Potentials from label counts on at most ``sample`` documents, first in a hash order of ids.
+def fit(docs: DataFrame, *, text_col: str = "text") -> SkipChainModel:
+    """Potentials from label counts over all documents, in one scan.
 
     The fixed patterns label the nodes. Counts by shape, and by shape without its plus sign (so
     that a number written without one is likely but not certain to be a phone number), give the
     unary potentials; counts of neighbours give the chain's. With no documents they are flat.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-    pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # At most ``sample`` ids: bounded by the parameter.
-    rows = pick.join(F.broadcast(ids.distinct()), "doc_id")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def run(cols: list) -> list:
         seen: Counter = Counter()
-        for t in cols[1]:
+        for t in cols[0]:
             before = None
             for x in nodes_of(t or "", base_spans(t or "")):
                 seen["u", shape(x.text), x.base + 1] += 1
@@ -229,7 +226,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
         keys = list(seen)
         return [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [seen[k] for k in keys]]
 
-    got = arrow_rows(rows, run, ["doc_id", "text"], "what string, shape string, label int, n long")
+    got = arrow_rows(rows, run, ["text"], "what string, shape string, label int, n long")
     # One row a shape and label: shapes are a fixed, small set.
     counts = got.groupBy("what", "shape", "label").agg(F.sum("n").alias("n")).collect()
     m = len(KINDS) + 1

@@ -131,6 +131,13 @@ def test_op3_adds_tied_tokens(spark, odd, empty, docs):
     assert pii.find_pii(empty, pii.fit(empty)).count() == 0
 
 
+def test_op3_potentials_from_all_documents(spark):
+    rows = [(k, f"call +1 (499) 555-{k:04d} or 1234567") for k in range(600)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert np.allclose(model.unary["P+"], np.log(np.array([0.5] * 4 + [600.5]) / 602.5))
+    assert np.allclose(model.unary["p"], np.log(np.array([600.5] + [0.5] * 4) / 602.5))
+
+
 def test_op4_counts(odd, empty, docs):
     got = {r.doc_id: r for r in token_counts.count_tokens(odd, BYTE_BPE).collect()}
     for k, t in enumerate(TEXTS):
