@@ -115,11 +115,14 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
 
 
 def shape(text: str) -> str:
-    """Observed features of a node as one symbol: digit count, signs, letters."""
+    """Observed features of a node as one symbol: digit count, signs, letters, and whether a number
+    of a card's or an address's form fails the check digit or the range of its parts."""
     d = sum(c.isdigit() for c in text)
     letters = sum(c.isalpha() for c in text)
     size = "0" if d == 0 else "s" if d < 7 else "p" if d < 10 else "P" if d < 14 else "c" if d < 20 else "x"
-    return size + "@" * ("@" in text) + "." * min(3, text.count(".")) + "a" * (letters > 0) + "+" * text.startswith("+")
+    fails = size == "c" and not luhn(_DIGITS.sub("", text))
+    fails |= _IP.fullmatch(text) is not None and any(len(p) >= 400 or int(p) > 255 for p in text.split("."))
+    return size + "@" * ("@" in text) + "." * min(3, text.count(".")) + "a" * (letters > 0) + "+" * text.startswith("+") + "!" * fails
 
 
 def skip_keys(text: str) -> list[str]:
@@ -250,7 +253,7 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 def all_spans(text: str, model: SkipChainModel) -> tuple[list, list]:
     """Base spans, and base plus added spans: nodes that the field labels with a kind."""
     base = base_spans(text)
-    nodes = nodes_of(text, base) if base else []
+    nodes = nodes_of(text, base)
     free = [x for x in nodes if x.base < 0]
     if not free:
         return base, base
@@ -261,8 +264,8 @@ def all_spans(text: str, model: SkipChainModel) -> tuple[list, list]:
 def find_pii(docs: DataFrame, model: SkipChainModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_<kind> of base spans, base_sha256 and all spans, for every row; no shuffle.
 
-    A null text has none; documents without any base span have no evidence to pass on, so nothing
-    is added there.
+    A null text has none. The field also runs where no fixed pattern matched: a shape alone, or
+    tied nodes, can be evidence enough.
     """
 
     def run(cols: list) -> list:

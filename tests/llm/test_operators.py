@@ -138,6 +138,15 @@ def test_op3_potentials_from_all_documents(spark):
     assert np.allclose(model.unary["p"], np.log(np.array([600.5] + [0.5] * 4) / 602.5))
 
 
+def test_op3_field_without_base_spans(spark):
+    known = [f"call +1 (499) 555-{k:04d} card 4539148803436467 host 10.0.0.{k % 256} not 4539148803436468" for k in range(100)]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    texts = ["call 4995556503", "4995556503 and again 4995556503", "in 2024 there were 1234 of them", "no numbers", "4539148803436468 " * 5, "build 10.0.19041.1234"]
+    got = {r.doc_id: r for r in pii.find_pii(frame(texts), pii.fit(frame(known))).collect()}
+    assert [got[k].spans for k in range(6)] == ["phone:5:15", "phone:0:10,phone:21:31", "", "", "", ""]
+    assert all(r.n_phone == 0 and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got.values())
+
+
 def test_op4_counts(odd, empty, docs):
     got = {r.doc_id: r for r in token_counts.count_tokens(odd, BYTE_BPE).collect()}
     for k, t in enumerate(TEXTS):
