@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret's span replaced; null texts stay null."""
-    seen = secrets.scan(docs, keep=("lang", "source", "text", "n_chars"))
+    """All documents, with every secret's span replaced, a private key's from header to end; null
+    texts stay null."""
+    seen = secrets.scan(docs, rules=secrets.WHOLE_RULES, keep=("lang", "source", "text", "n_chars"))
     changed = F.size("found") > 0
     text = F.when(changed, secrets.redact(F.col("scanned_text"), F.col("found"))).otherwise(F.col("text"))
     out = seen.withColumn("text", text)

@@ -36,6 +36,14 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
 )
 
+_HEAD = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: Up to the matching END line, no other such line between; without one, the lines of base64 and a last short one.
+_TO_END = r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[nr])"
+_RUN = rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![^\r\n]))?+"
+#: The rules for redaction: a private key is the whole key, not its header alone, which RULES report.
+WHOLE_RULES = tuple(Rule(r.kind, f"{_HEAD}(?:{_TO_END}|{_RUN})") if r.kind == "pem" else r for r in RULES)
+
 
 def _grams(s: str) -> frozenset[str]:
     return frozenset(s[i : i + 3] for i in range(len(s) - 2))
