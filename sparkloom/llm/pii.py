@@ -24,6 +24,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[^0-9]+")
+_PART = re.compile(r"[A-Za-z0-9._%+@-]+")
+_NUMBER = re.compile(r"\+?[0-9]+(?:[.-][0-9]+)*")
+_EDGE = ".,;:!?\"'()[]<>"
 
 
 def luhn(digits: str) -> bool:
@@ -66,6 +69,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _cut_run(at: int, run: str, longest: int = 80) -> list[tuple[int, str]]:
+    """(start, token) of a run without white space. One of over ``longest`` characters is cut at the
+    edges of its address characters, and a part still longer that holds no @ into its numbers."""
+    if len(run.strip(_EDGE)) <= longest:
+        return [(at, run)]
+    out = []
+    for m in _PART.finditer(run):
+        if m.end() - m.start() <= longest or "@" in m[0]:
+            out.append((at + m.start(), m[0]))
+        else:
+            out += [(at + x.start(), x[0]) for x in _NUMBER.finditer(run, m.start(), m.end())]
+    return out
+
+
 @dataclass
 class Node:
     start: int
@@ -76,7 +93,8 @@ class Node:
 
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
     """The label sequence: base spans, and white-space tokens outside them that hold an @ or at
-    least four digits. All other tokens have label O for certain and break no skip edge."""
+    least four digits, long runs cut into parts first. All other tokens have label O for certain
+    and break no skip edge."""
     out, taken = [], 0
     held: list[Node] = []
     for s, k, e in base:
@@ -104,11 +122,11 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
         while e < high and not text[e].isspace():
             e += 1
         at = e
-        piece = text[s:e]
-        lead = len(piece) - len(piece.lstrip(".,;:!?\"'()[]<>"))
-        piece = piece.strip(".,;:!?\"'()[]<>")
-        if len(piece) <= 80 and ("@" in piece or sum(c.isdigit() for c in piece) >= 4):
-            out.append(Node(s + lead, s + lead + len(piece), piece, -1))
+        for begin, piece in _cut_run(s, text[s:e]):
+            lead = len(piece) - len(piece.lstrip(_EDGE))
+            piece = piece.strip(_EDGE)
+            if "@" in piece or sum(c.isdigit() for c in piece) >= 4:
+                out.append(Node(begin + lead, begin + lead + len(piece), piece, -1))
     out += held
     out.sort(key=lambda n: n.start)
     return out

@@ -147,6 +147,16 @@ def test_op3_field_without_base_spans(spark):
     assert all(r.n_phone == 0 and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got.values())
 
 
+def test_op3_long_runs():
+    known, n = "tel +1 (499) 555-6503 ", "4995556503"
+    for run in ("文" * 60 + n + "文" * 60, "https://a.example/" + "p/" * 50 + "?t=" + n, "a" * 100 + n, "{" + '"k":1,' * 30 + f'"t":{n}' + "}"):
+        t = known + run
+        base = pii.base_spans(t)
+        (node,) = [x for x in pii.nodes_of(t, base) if x.base < 0]
+        assert (node.text, node.start) == (n, t.index(n)) and t[node.start : node.stop] == n
+    assert [x.text for x in pii.nodes_of("x" * 70 + "(12345)", [])] == ["x" * 70 + "(12345"]
+
+
 def test_op4_counts(odd, empty, docs):
     got = {r.doc_id: r for r in token_counts.count_tokens(odd, BYTE_BPE).collect()}
     for k, t in enumerate(TEXTS):
