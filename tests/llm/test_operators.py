@@ -390,3 +390,35 @@ def test_op10_wide_windows(spark):
                     if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                         root[i] = root[j] = min(root[i], root[j])
         assert got == set(enumerate(root)), percent
+
+
+def test_op5_buckets_and_order(spark):
+    """Half of the documents of low quality, many rows of one id and without an id: even buckets,
+    and the words that a plain run in key order takes."""
+    rows = [(k, ("a # " if k % 2 else "ab cd ") * (1 + k % 7), "one" if k % 3 else "two") for k in range(30_000)]
+    rows += [(5, f"word {k}", "one") for k in range(9000)] + [(None, "the same text", "one")] * 9000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keyed = mixing.weighted_rows(df, rows_per_bucket=1000).cache()
+    assert keyed.count() == len(rows) and keyed.select("key").distinct().count() == len(rows)
+    by = keyed.groupBy("source", "level").agg(F.sum("size").alias("z"), F.count(F.lit(1)).alias("n"))
+    totals = by.groupBy("source").agg(F.sum("z").alias("source_size"), F.sum("n").alias("n_docs"), F.collect_list(F.struct("level", "n")).alias("levels"))
+    targets = mixing.source_targets(totals.drop("levels")).join(totals.select("source", "levels"), "source")
+    for most in (0, 10):
+        dealt = mixing.dealt_rows(keyed, targets, rows_per_bucket=1000, most_broadcast=most).toPandas()
+        assert len(dealt) == len(rows) and dealt.groupby(["rank", "bucket"]).size().max() <= 2000
+        order = dealt.sort_values(["rank", "key"])
+        assert order.groupby("rank").bucket.is_monotonic_increasing.all()
+    # Efraimidis-Spirakis, plainly: a source's rows by -ln(u) / quality; whole epochs, then a prefix.
+    want = []
+    for _, g in dealt.sort_values("key").groupby("rank"):
+        epochs = int(g.target.iloc[0] / g.source_size.iloc[0] + 1e-12)
+        left = round(g.target.iloc[0] - epochs * g.source_size.iloc[0])
+        for size, doc in zip(g["size"], g.doc_id):
+            part = min(size, max(left, 0))
+            left -= part
+            want.append((-1 if np.isnan(doc) else int(doc), int(epochs * size + part)))
+    got = mixing.mix(df, rows_per_bucket=1000).select(F.coalesce("doc_id", F.lit(-1)), "taken")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # Documents of high quality come earlier.
+    first = dealt[dealt.key < dealt.key.median()]
+    assert (first.level == 64).mean() > 0.6
