@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,21 +41,57 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: dict[str, None] = {}
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted by ``release`` or when the driver ends."""
+    path = new_path(spark, name)
+    _made[path] = None
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every temporary table of this driver: once no DataFrame that reads one is needed any more."""
+    for path in list(_made):
+        _delete(spark, path)
+        del _made[path]
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
+    except Exception:  # noqa: BLE001 - the session ended first; local folders need none
+        pass
+    for path in _made:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost
-    executor costs only the tasks after it."""
+    executor costs only the tasks after it. ``drop_staged`` or ``release`` delete the files."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = temporary_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing needs any more."""
-    jvm = df.sparkSession._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+        tail = path.rsplit("/", 1)[-1]
+        for made in [m for m in _made if m.rsplit("/", 1)[-1] == tail]:
+            del _made[made]
 
 
 def words(text: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,48 +19,92 @@ from sparkloom.llm._common import staged
 @dataclass(frozen=True)
 class ListIndex:
     """What is fitted on the sample: a random rotation, list centroids (unit vectors), probes a
-    query, and ``anchors``, sample vectors whose distances bound a query's k-th distance."""
+    query, and ``anchors``, sample vectors whose distances bound a query's k-th distance. Many
+    lists are in ``groups`` (first list of each, and one past the last): a vector goes to a list of
+    the three groups whose centroids, ``tops``, are nearest."""
 
     rotation: np.ndarray
     centroids: np.ndarray
     anchors: np.ndarray
     probes: int
+    tops: np.ndarray | None = None
+    groups: np.ndarray | None = None
 
     def lists_of(self, unit: np.ndarray) -> np.ndarray:
-        return np.argmax(unit @ self.centroids.T, axis=1)
+        if self.tops is None:
+            return np.argmax(unit @ self.centroids.T, axis=1)
+        near = np.argsort(-(unit @ self.tops.T), axis=1, kind="stable")[:, :3]
+        best, out = np.full(len(unit), -np.inf), np.zeros(len(unit), np.int64)
+        for g in np.unique(near):
+            rows = np.flatnonzero((near == g).any(axis=1))
+            a, b = self.groups[g], self.groups[g + 1]
+            score = unit[rows] @ self.centroids[a:b].T
+            top = score.max(axis=1)
+            better = top > best[rows]
+            out[rows[better]] = a + score.argmax(axis=1)[better]
+            best[rows] = np.maximum(best[rows], top)
+        return out
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to [0.5, 1): exact, keeps
+    cosines as they are, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt(np.sum(x * x, axis=1))[:, None]
 
 
-def fit_index(sample: np.ndarray, total: int, *, k: int, most_lists: int = 4096, anchors: int = 2000, cover: float = 0.97, seed: int = 5) -> ListIndex:
-    """Lists by spherical k-means over the sample, about sqrt(total) of them. ``probes`` is the
-    least number of lists that hold a share ``cover`` of the sample's own true neighbours."""
-    rng, (n, d) = np.random.default_rng(seed), sample.shape
-    rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    unit = unit_rows(sample)
-    lists = int(max(1, min(most_lists, np.sqrt(total), n // 8)))
-    centroids = unit[rng.choice(n, lists, replace=False)]
-    for _ in range(8):
+def _means(unit: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Centroids of spherical k-means."""
+    centroids = unit[rng.choice(len(unit), count, replace=False)]
+    for _ in range(rounds):
         own = np.argmax(unit @ centroids.T, axis=1)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, unit)
         norm = np.sqrt((sums**2).sum(axis=1))
         centroids = np.where(norm[:, None] > 1e-12, sums / np.maximum(norm, 1e-12)[:, None], centroids)
+    return centroids
+
+
+def sample_size(total: int, least: int = 20_000, most: int = 262_144) -> int:
+    """Vectors to fit on: eight for each of sqrt(total) lists, within the bounds."""
+    return int(min(most, max(least, 8 * np.sqrt(total))))
+
+
+def fit_index(sample: np.ndarray, total: int, *, k: int, flat: int = 1024, anchors: int = 2000, cover: float = 0.97, seed: int = 5) -> ListIndex:
+    """About sqrt(total) lists by spherical k-means over the sample, at most one for each eight of
+    its vectors; more than ``flat`` lists in two levels. ``probes`` is the least number of lists
+    that hold a share ``cover`` of the sample's own true neighbours."""
+    rng, (n, d) = np.random.default_rng(seed), sample.shape
+    rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    unit = unit_rows(sample)
+    lists = int(max(1, min(np.sqrt(total), n // 8)))
+    tops = groups = None
+    if lists <= flat:
+        centroids = _means(unit, lists, rng)
+    else:
+        tops = _means(unit, int(np.sqrt(lists)), rng)
+        own = np.argmax(unit @ tops.T, axis=1)
+        parts = [_means(unit[own == g], max(1, int((own == g).sum() * lists // n)), rng) if (own == g).any() else tops[g : g + 1] for g in range(len(tops))]
+        centroids, groups = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    lists = len(centroids)
+    index = ListIndex(rotation, centroids, unit[rng.choice(n, min(anchors, n), replace=False)], lists, tops, groups)
     probes = lists
     if total > 1000 and lists > 1:
         q = rng.choice(n, min(300, n), replace=False)
         near = unit[q] @ unit.T
         near[np.arange(len(q)), q] = -2
         top = np.argpartition(-near, k, axis=1)[:, :k]
-        own = np.argmax(unit @ centroids.T, axis=1)
+        own = index.lists_of(unit)
         order = np.argsort(-(unit[q] @ centroids.T), axis=1)
         place = np.empty_like(order)
         place[np.arange(len(q))[:, None], order] = np.arange(lists)
         need = np.sort(place[np.arange(len(q))[:, None], own[top]].ravel())
         probes = int(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1
-    return ListIndex(rotation, centroids, unit[rng.choice(n, min(anchors, n), replace=False)], probes)
+    return replace(index, probes=probes)
 
 
 def adaptive_scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, *, k: int, block: int = 16, eps: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +142,19 @@ def _stack(col) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50,
-    sample: int = 20_000, list_rows: int = 20_000, eps: float = 2.1,
+    least_sample: int = 20_000, most_sample: int = 262_144, list_rows: int = 20_000, eps: float = 2.1,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest cosine for each id divisible by ``every``.
 
     Rows with a null id, a null, zero or empty vector, or a null or non-finite component take no
-    part, nor do vectors of another length than the commonest. Equal vectors are searched once: of
-    each distinct vector the k + 1 smallest ids stay, as no more can be among the k nearest of any
-    query, so a vector that a third of all rows share costs one row. Repeated rows (same id and
-    vector) count once. The index is fitted on at most ``sample`` distinct vectors; every distinct
-    vector is in a list, and lists beyond ``list_rows`` are scanned in several tasks. Scores are
-    cosines of the original vectors in double precision; ties go to the smaller id. An empty table
-    gives nothing.
+    part. A cosine needs vectors of one length, so each length is searched by itself. Equal vectors
+    are searched once: of each distinct vector the k + 1 smallest ids stay, as no more can be among
+    the k nearest of any query, so a vector that a third of all rows share costs one row. Repeated
+    rows (same id and vector) count once. The index is fitted on ``least_sample`` distinct vectors
+    or eight for each list, about ``most_sample`` at the most; lists grow with the square root of
+    the rows, every distinct vector is in one, and lists beyond ``list_rows`` are scanned in several
+    tasks. Scores are cosines of the original vectors in double precision; ties go to the smaller
+    id. An empty table gives nothing.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -120,15 +166,27 @@ def nearest(
     top = rows.withColumn("r", F.dense_rank().over(small)).filter(F.col("r") <= k + 1)
     own = top.groupBy("h", "h2").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v"))
     own = staged(own.select("h", "ids", "v"), "vectors")
-    lengths = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    d, total = lengths[0]["d"], lengths[0]["count"]
-    own = own.filter(F.size("v") == d)
-    got = own.orderBy(F.xxhash64("h"), "h").limit(sample).select("v").toArrow()
-    index = fit_index(np.asarray(got.column(0).combine_chunks().flatten().to_numpy()).reshape(-1, d), total, k=k + 1)
-    # Bounded: a d x d matrix, at most 4096 centroids and 2000 anchors.
+    # A row a length, of which a table of vectors has one.
+    lengths = own.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    found = [
+        _search(own.filter(F.size("v") == r["d"]), rows.filter(F.size("v") == r["d"]), r["d"], r["count"], k, every, (least_sample, most_sample), list_rows, eps)
+        for r in lengths
+    ]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(own: DataFrame, rows: DataFrame, d: int, total: int, k: int, every: int, sample: tuple[int, int], list_rows: int, eps: float) -> DataFrame:
+    """``nearest`` among vectors of one length: distinct ones (h, ids, v), and all rows (id, v, h)."""
+    spark = own.sparkSession
+    # A share of the vectors by hash: the same ones on every run, and no more on the way to the driver.
+    share = sample_size(total, *sample) / total
+    picked = own if share >= 1 else own.filter(F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = picked.select("h", "v").toArrow().sort_by("h")
+    values = np.asarray(got.column("v").combine_chunks().flatten().to_numpy()).reshape(-1, d)
+    if not len(values):
+        values = np.asarray(own.select("v").first()["v"], np.float64).reshape(1, d)
+    index = fit_index(values, total, k=k + 1)
+    # Bounded: a d x d matrix, a centroid for each eight vectors of the sample at most, 2000 anchors.
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +225,11 @@ def nearest(
 
     lists = staged(own.select("h", "ids", "v").mapInArrow(place, "list int, h long, first long, v binary"), "lists")
     counts = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("parts"))
-    # One row a list, so at most 4096.
+    # One row a list.
     counts = counts.collect()
     parts = spark.createDataFrame(counts, "list int, parts int")
     dealt = lists.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "h", "first", "v")
-    asked = rows.filter(F.col("id") % every == 0).filter(F.size("v") == d).select("id", "h").distinct()
+    asked = rows.filter(F.col("id") % every == 0).select("id", "h").distinct()
     queries = own.join(asked.select("h").distinct(), "h", "left_semi").select("h", "v")
     probes = queries.mapInArrow(probe, "list int, q long, bound double, v binary")
     again = spark.createDataFrame(counts, "list int, n int")
@@ -180,12 +238,12 @@ def nearest(
     def scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "h": [], "first": [], "score": []}
         if len(left) and len(right):
-            x = _stack(left["v"])
+            x = scaled(_stack(left["v"]))
             turn, nx = shared.value.rotation, np.sqrt(np.sum(x * x, axis=1))
             xr = (x / nx[:, None]) @ turn
             for at in range(0, len(right), 256):
                 part = right.iloc[at : at + 256]
-                q = _stack(part["v"])
+                q = scaled(_stack(part["v"]))
                 nq = np.sqrt(np.sum(q * q, axis=1))
                 i, j = adaptive_scan(xr, (q / nq[:, None]) @ turn, part["bound"].to_numpy(), k=k + 1, eps=eps)
                 out["q"].append(part["q"].to_numpy()[i])
@@ -209,6 +267,7 @@ def nearest(
 
 def brute_force(ids: np.ndarray, x: np.ndarray, *, k: int = 5, every: int = 50) -> pd.DataFrame:
     """Reference result for tests and recall."""
+    x = scaled(x)
     out, norm = [], np.sqrt(np.sum(x * x, axis=1))
     for a in np.flatnonzero(ids % every == 0):
         s = np.sum(x * x[a], axis=1) / (norm * norm[a])

@@ -78,13 +78,13 @@ def unpack_ids(data: bytes, sizes: list[int], n: int, mode: str = "byte", block:
 
 def write_ids(
     docs: DataFrame, tokenizer_path: str, path: str, *, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 2, shards: int | None = None, chunk_ids: int = 262_144, block: int = 65_536,
+    end_id: int = 2, shards: int | None = None, shard_bytes: int = 512 << 20, chunk_ids: int = 262_144, block: int = 65_536,
     mode: str = "byte", level: int = 1,
 ) -> None:
     """Encodes every text and writes ids in ascending ``id_col`` order.
 
-    One range shuffle brings documents into id order (a null id comes first, equal ids by text);
-    each range is a shard. A chunk holds whole documents up to about ``chunk_ids`` ids, as blocks
+    One range shuffle brings documents into id order (a null id comes first, equal ids by hash and text);
+    each range is a shard, one for each ``shard_bytes`` of text or more. A chunk holds whole documents up to about ``chunk_ids`` ids, as blocks
     of ``block`` ids whose byte (or bit) planes are compressed apart. A row of the Parquet
     container is a chunk: everything but ``planes`` is the chunk index, which readers of single
     documents can scan without touching a plane. A null text is empty and gives the end id alone;
@@ -130,8 +130,12 @@ def write_ids(
             yield flush()
 
     pick = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = pick.repartitionByRange(shards or shuffle_partitions(spark), F.col("id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    if not shards:
+        total = pick.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(shuffle_partitions(spark), -(-total // shard_bytes))
+    # Rows of one id, or without one, are in the order of their texts' hashes and can be several shards.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    dealt = pick.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
     dealt.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
 
 

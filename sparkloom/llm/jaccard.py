@@ -31,8 +31,8 @@ def allowed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _deal(batch: int, rows, buckets: int, wide: bool):
-    """(batch, bucket) rows of hashes and document numbers from (ids, sets); then a row of ids and
-    sizes. ``wide``: whole hashes of whole sets; else 32 bits of each hash in the lower half."""
+    """(batch, bucket) rows of hashes and document numbers from (ids, sets); then a row of ids,
+    sizes and signatures. ``wide``: whole hashes of whole sets; else 32 bits of each hash in the lower half."""
     ids, sets = rows
     n = np.array([len(s) for s in sets], np.int64)
     h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -50,7 +50,8 @@ def _deal(batch: int, rows, buckets: int, wide: bool):
             x = h[a:b] if wide else (h[a:b] >> np.uint64(31)).astype(np.uint32)
             yield batch, k, 0, x.tobytes(), doc[a:b].astype(np.uint16).tobytes()
     half = np.bincount(doc, minlength=len(sets)) if not wide else n
-    yield batch, int(batch % buckets), 1, np.asarray(ids, np.int64).tobytes(), np.stack([n, half], 1).astype(np.int64).tobytes()
+    sig = np.array([_signature(s) for s in sets], np.int64)
+    yield batch, int(batch % buckets), 1, np.asarray(ids, np.int64).tobytes(), np.stack([n, half], 1).astype(np.int64).tobytes() + sig.tobytes()
 
 
 def _rows(out) -> pa.RecordBatch:
@@ -91,10 +92,13 @@ def _shared_counts(pdf: pd.DataFrame, wide: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["batch", "bucket", "kind", "hashes", "docs"])
 
 
-def _header(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _header(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes, counts in the lower half and signatures of a batch."""
     head = pdf[pdf["kind"] == 1].iloc[0]
-    sizes = np.frombuffer(head["docs"], np.int64).reshape(-1, 2)
-    return np.frombuffer(head["hashes"], np.int64), sizes[:, 0], sizes[:, 1]
+    ids = np.frombuffer(head["hashes"], np.int64)
+    rest = np.frombuffer(head["docs"], np.int64)
+    sizes = rest[: 2 * len(ids)].reshape(-1, 2)
+    return ids, sizes[:, 0], sizes[:, 1], rest[2 * len(ids) :].reshape(-1, 2)
 
 
 class SetJoin:
@@ -112,7 +116,7 @@ class SetJoin:
         self.ids, self.n, self.percent = ids, np.asarray(sizes, np.int64), percent
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        _, token = np.unique(flat, return_inverse=True)
+        self.token, token = np.unique(flat, return_inverse=True)
         df = np.bincount(token) if len(token) else np.empty(0, np.int64)
         order = np.argsort(token, kind="stable")
         self.posting = doc[order]
@@ -127,6 +131,14 @@ class SetJoin:
         lists = [self.posting[self.cut[t] : self.cut[t + 1]] for t in tokens.tolist()]
         return np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n), np.int64)
 
+    def shared_with(self, sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """For each set from outside: how many shingles it shares with each set here."""
+        for s in sets:
+            at = np.searchsorted(self.token, s)
+            own = at[np.flatnonzero(self.token[np.minimum(at, len(self.token) - 1)] == s)] if len(self.token) else at[:0]
+            lists = [self.posting[self.cut[t] : self.cut[t + 1]] for t in own.tolist()]
+            yield np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n), np.int64)
+
     def root(self, x: int) -> int:
         while self.parent[x] != x:
             self.parent[x] = self.parent[self.parent[x]]
@@ -168,9 +180,129 @@ class SetJoin:
         return [self.ids[self.root(x)] for x in range(len(self.n))]
 
 
+def _views(col) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in col]
+
+
+def _overlaps(pivots: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each set shares with each pivot, from the pivots' inverted lists."""
+    token = np.concatenate(pivots)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])[order]
+    out = np.zeros((len(sets), len(pivots)), np.int64)
+    for i, s in enumerate(sets):
+        a, b = np.searchsorted(token, s, "left"), np.searchsorted(token, s, "right")
+        hit = np.flatnonzero(b > a)
+        if len(hit):
+            places = np.concatenate([np.arange(x, y) for x, y in zip(a[hit].tolist(), b[hit].tolist())])
+            out[i] = np.bincount(owner[places], minlength=len(pivots))
+    return out
+
+
+_PAIR = "a long, b long"
+
+
+def split_region(rows: DataFrame, weight: DataFrame, *, percent: int, bound: int, rounds: int, pivots: int, tasks: int) -> list[DataFrame]:
+    """Links within regions of over ``bound`` shingles: (root, doc_id, n, shingles, keys) rows and a
+    (root, w) row a region.
+
+    In each round ``pivots`` documents of a region are pivots. A document within the limit t of one
+    links to it and is in its cell; by the triangle inequality whoever links with a cell's document
+    is within 2t of the pivot, so that ring alone is copied to the cell and compared with it. Cells
+    leave, the remainder goes on. What is left after the rounds is sparse: there each shared shingle
+    is a pivot of its own, and its sets are joined where it is one of their rarest. A cell or shingle that is
+    itself over the bound is compared block by block. Nothing is left out, and no task holds more
+    than about ``bound`` shingles.
+    """
+    links: list[DataFrame] = []
+    left = rows
+    for turn in range(rounds if percent > 50 else 0):
+        blocks = F.ceil(2 * F.col("w") / bound).cast("int")
+        left = left.join(F.broadcast(weight.select(F.col("root").alias("of"), blocks.alias("blocks"))), F.col("root") == F.col("of")).drop("of")
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(pivots)).cast("int")
+        chosen = left.groupBy("root", slot.alias("slot")).agg(
+            F.max("blocks").alias("blocks"), F.min_by(F.struct("doc_id", "n", "shingles"), F.struct(F.xxhash64("doc_id", F.lit(turn + 100)), "doc_id", "n")).alias("p")
+        )
+        chosen = staged(chosen.select("root", "slot", "p.*", "blocks"), "pivots")
+        own = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        every = chosen.select("root", "slot", "doc_id", "n", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+        def place(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(p):
+                return pd.DataFrame({"root": [], "doc_id": [], "n": [], "shingles": [], "keys": [], "cell": [], "linked": [], "rings": []})
+            p = p.sort_values("slot")
+            both = _overlaps(_views(p["shingles"]), _views(x["shingles"]))
+            union = x["n"].to_numpy()[:, None] + p["n"].to_numpy()[None, :] - both
+            near = 100 * both >= percent * union
+            ring = ~near & (100 * both >= (2 * percent - 100) * union) & (both > 0)
+            slots, ids = p["slot"].to_numpy(), p["doc_id"].to_numpy()
+            out = x[["root", "doc_id", "n", "shingles", "keys"]].copy()
+            out["cell"] = np.where(near.any(1), slots[near.argmax(1)], -1)
+            out["linked"] = [ids[r].tolist() for r in near]
+            out["rings"] = [slots[r].tolist() for r in ring]
+            return out
+
+        schema = "root long, doc_id long, n long, shingles binary, keys array<long>, cell int, linked array<long>, rings array<int>"
+        placed = own.groupBy("root", "block").cogroup(every.groupBy("root", "block")).applyInPandas(place, schema)
+        placed = staged(placed, "placed")
+        links.append(placed.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b")).filter("a <> b"))
+        cells = placed.filter("cell >= 0").select("root", "cell", "doc_id", "n", "shingles")
+        rings = placed.select("root", F.explode("rings").alias("cell"), "doc_id", "n", "shingles")
+        size = lambda t, name: t.groupBy("root", "cell").agg(F.ceil(F.sum(F.length("shingles")) / (4.0 * bound)).cast("int").alias(name))
+        # A row a cell that has both a document and a ring: at most ``pivots`` a large region.
+        parts = staged(size(cells, "mine").join(size(rings, "theirs"), ["root", "cell"]), "parts")
+        deal = lambda t, own, other, p, q: (
+            t.join(F.broadcast(parts), ["root", "cell"]).withColumn(p, F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
+            .withColumn(q, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).groupBy("root", "cell", "i", "j")
+        )
+
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            a, b = [], []
+            if len(x) and len(y):
+                n = x["n"].to_numpy()
+                join = SetJoin(x["doc_id"].tolist(), n, _views(x["shingles"]), percent)
+                for doc, size, o in zip(y["doc_id"], y["n"], join.shared_with(_views(y["shingles"]))):
+                    hit = np.flatnonzero(100 * o >= percent * (n + size - o))
+                    if len(hit):
+                        a.append(doc)
+                        b.append(join.ids[hit[0]])
+            return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
+
+        links.append(deal(cells, "mine", "theirs", "i", "j").cogroup(deal(rings, "theirs", "mine", "j", "i")).applyInPandas(meet, _PAIR))
+        left = placed.filter("cell < 0").select("root", "doc_id", "n", "shingles", "keys")
+        weight = staged(left.groupBy("root").agg((F.sum(F.length("shingles")) / 8).alias("w")), "weights")
+    by_key = left.select("doc_id", "n", "shingles", F.explode("keys").alias("root"))
+    sizes = by_key.groupBy("root").agg((F.sum(F.length("shingles")) / 8).alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    links.append(join_blocks(by_key.join(staged(sizes, "keys"), "root"), percent=percent, bound=bound, tasks=tasks))
+    return links
+
+
+def join_blocks(rows: DataFrame, *, percent: int, bound: int, tasks: int) -> DataFrame:
+    """Links within each root of (root, doc_id, n, shingles, w): roots of a weight up to ``bound``
+    are one ``SetJoin`` each, many to a task; larger ones are dealt into blocks, and each pair of
+    blocks is a task of its own."""
+    blocks = F.when(F.col("w") > bound, F.ceil(2 * F.col("w") / bound)).otherwise(1).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    group = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))
+
+    def join_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, g in pdf.sort_values("doc_id").groupby(["root", "i", "j"], sort=False):
+            ids = g["doc_id"].tolist()
+            a += ids
+            b += SetJoin(ids, g["n"].to_numpy(), _views(g["shingles"]), percent).run()
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt = dealt.select("root", "doc_id", "n", "shingles", "i", "j", group.alias("task"))
+    return dealt.groupBy("task").applyInPandas(join_group, _PAIR).filter("a <> b")
+
+
 def join_sets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
-    most_broadcast: int = 1_000_000, region_shingles: int = 8_000_000,
+    most_broadcast: int = 1_000_000, region_shingles: int = 8_000_000, bucket_bytes: int = 128 << 20,
+    rounds: int = 2, pivots: int = 32,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row with an id.
 
@@ -179,22 +311,24 @@ def join_sets(
     2. A set can only have a partner if ``percent`` of its shingles occur in another set too. The
        frequencies are counted over all documents, on the lower half of the hash space: if more of
        a set's shingles there are its own than it may lack at all, it has no partner. What goes
-       over the network is packed: six bytes a shingle.
+       over the network is packed: six bytes a shingle. A bucket of hashes is what one task holds;
+       there is one for each ``bucket_bytes`` of text, four times as many as tasks at least.
     3. Representatives that are left are counted again on whole sets. Each shared shingle is a
        pivot {s}: the rarest ones of a set, as many as it may lack and one more, are the Voronoi
        regions that it can share with a partner (boundary sets lie in several). Regions that share
        a set are one region, by connected components over stars.
-    4. Each region is joined exactly by ``SetJoin``. One of over ``region_shingles`` shingles is
-       dealt into blocks and each pair of blocks joined as a task of its own; their links are
-       merged by connected components.
+    4. Each region is joined exactly by ``SetJoin``; one of over ``region_shingles`` shingles is
+       split by pivots again (``split_region``), and links are merged by connected components.
 
     Null and blank texts have no shingles and link with nothing; rows without an id are left out, and
-    an empty table gives nothing. Repeated ids are one document, and the smallest id of equal sets represents them. Nothing is sampled, capped or dropped.
+    an empty table gives nothing. Rows of one id are one document: what any of its texts links with
+    is in its component, and each row has the size of its own set. Nothing is sampled, capped or dropped.
     """
     spark = docs.sparkSession
-    # A bucket is what one task holds at once, so there are more of them than tasks.
-    buckets = 4 * shuffle_partitions(spark)
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = pick.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = 4 * shuffle_partitions(spark)
+    buckets = max(tasks, -(-total // bucket_bytes))
 
     def deal(wide: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,25 +346,15 @@ def join_sets(
                     texts = part.column(1).to_pylist()
                     if keep:
                         rows = ([ids[k] for k in keep], shingle_sets([texts[k] for k in keep], width))
-                        out = list(_deal(number, rows, buckets, wide))
+                        yield _rows(list(_deal(number, rows, buckets, wide)))
                         number += 1
-                        if not wide:
-                            sig = [_signature(s) for s in rows[1]]
-                            # The signatures travel with the row of ids.
-                            b, k, kind, head, sizes = out[-1]
-                            out[-1] = (b, k, kind, head, sizes + np.array(sig, np.int64).tobytes())
-                        yield _rows(out)
 
         return run
 
     counted = pick.mapInArrow(deal(False), _SCHEMA).groupBy("bucket").applyInPandas(lambda p: _shared_counts(p, False), _SCHEMA)
 
     def filter_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["kind"] == 1].iloc[0]
-        ids = np.frombuffer(head["hashes"], np.int64)
-        rest = np.frombuffer(head["docs"], np.int64)
-        sizes, sig = rest[: 2 * len(ids)].reshape(-1, 2), rest[2 * len(ids) :].reshape(-1, 2)
-        n, half = sizes[:, 0], sizes[:, 1]
+        ids, n, half, sig = _header(pdf)
         shared = np.zeros(len(ids), np.int64)
         for h, d in pdf.loc[pdf["kind"] == 0, ["hashes", "docs"]].itertuples(index=False):
             shared[np.frombuffer(h, np.uint16)] += np.frombuffer(d, np.uint32)
@@ -241,7 +365,7 @@ def join_sets(
     sets = staged(sets, "sets")
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("may").alias("may"))
     classes = staged(classes, "classes")
-    reps = staged(classes.filter("may").select(F.col("rep").alias("doc_id")), "reps")
+    reps = staged(classes.filter("may").select(F.col("rep").alias("doc_id")).distinct(), "reps")
     few = reps.count() <= most_broadcast
     # Ids alone, and only up to a checked count; beyond it the texts are shuffled by id.
     left = pick.join(F.broadcast(reps), "doc_id", "left_semi")
@@ -251,7 +375,7 @@ def join_sets(
     frequent = left.mapInArrow(deal(True), _SCHEMA).groupBy("bucket").applyInPandas(lambda p: _shared_counts(p, True), _SCHEMA)
 
     def keys_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, n, _ = _header(pdf)
+        ids, n, _, sig = _header(pdf)
         hs, fs, ds = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint16)]
         for h, d in pdf.loc[pdf["kind"] == 0, ["hashes", "docs"]].itertuples(index=False):
             m = len(d) // 2
@@ -268,43 +392,52 @@ def join_sets(
             # Shingles of no other set come first in the order; they are no region.
             room = int(may[k]) + 1 - (int(n[k]) - len(own))
             if room > 0 and len(own):
-                out.append((ids[k], n[k], np.sort(own).tobytes(), own[:room].view(np.int64)))
-        return pd.DataFrame(out, columns=["doc_id", "n", "shingles", "keys"])
+                out.append((ids[k], n[k], *sig[k].tolist(), np.sort(own).tobytes(), own[:room].view(np.int64)))
+        return pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "shingles", "keys"])
 
-    kept = frequent.groupBy("batch").applyInPandas(keys_batch, "doc_id long, n long, shingles binary, keys array<long>")
-    kept = staged(kept.dropDuplicates(["doc_id"]), "kept")
+    kept = frequent.groupBy("batch").applyInPandas(keys_batch, "doc_id long, n long, s1 long, s2 long, shingles binary, keys array<long>")
+    # Repeated rows once; other texts of an id stay beside each other.
+    kept = staged(kept.dropDuplicates(["doc_id", "s1", "s2"]).drop("s1", "s2"), "kept")
     keys = kept.select("doc_id", F.explode("keys").alias("key"))
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     stars = keys.join(heads, "key").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
     region = components(stars)
-    inside = staged(kept.join(region, kept["doc_id"] == region["id"]).select("root", "doc_id", "n", "shingles"), "regions")
-    weight = inside.groupBy("root").agg((F.sum(F.length("shingles")) / 8).alias("w"))
-    blocks = F.ceil(2 * F.col("w") / region_shingles).cast("int")
-    large = weight.select("root", F.when(F.col("w") > region_shingles, blocks).otherwise(1).alias("blocks"))
-    dealt = inside.join(large, "root").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # A block meets every other: document copies as many as blocks, 1 for ordinary regions.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    group = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(16 * buckets)))
-
-    def join_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, g in pdf.sort_values("doc_id").groupby(["root", "i", "j"], sort=False):
-            ids = g["doc_id"].tolist()
-            found = SetJoin(ids, g["n"].to_numpy(), [np.frombuffer(s, np.uint64) for s in g["shingles"]], percent).run()
-            a += ids
-            b += found
-        return pd.DataFrame({"a": a, "b": b})
-
-    links = dealt.withColumn("task", group).groupBy("task").applyInPandas(join_group, "a long, b long").filter("a <> b")
-    roots = components(links)
+    inside = staged(kept.join(region, kept["doc_id"] == region["id"]).select("root", "doc_id", "n", "shingles", "keys"), "regions")
+    weight = staged(inside.groupBy("root").agg((F.sum(F.length("shingles")) / 8).alias("w")), "weights")
+    whole, large = weight.agg(F.sum("w"), F.coalesce(F.sum(F.when(F.col("w") > region_shingles, 1)), F.lit(0))).first()
+    # Small regions share tasks, a quarter of the bound each on average.
+    tasks = max(4 * tasks, int(4 * (whole or 0) / region_shingles))
+    joined = inside.drop("keys").join(weight.filter(F.col("w") <= region_shingles), "root")
+    links = [join_blocks(joined, percent=percent, bound=region_shingles, tasks=tasks)]
+    if large:
+        # Fewer than the table's shingles by the bound.
+        heavy = weight.filter(F.col("w") > region_shingles)
+        rows = inside.join(F.broadcast(heavy.select("root")), "root")
+        links += split_region(rows, heavy, percent=percent, bound=region_shingles, rounds=rounds, pivots=pivots, tasks=tasks)
+    sure = sets.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi"))
+    several = staged(sure.filter("lo <> hi").select("doc_id"), "several")
+    repeated = several.limit(1).count() > 0
+    if repeated:
+        # Ids with several texts tie the classes of these together.
+        of = sets.join(several, "doc_id", "left_semi").join(classes, ["s1", "s2", "n"])
+        links.append(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b"))
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.union(more)
+    roots = components(edges)
     named = classes.join(roots, classes["rep"] == roots["id"], "left").select("s1", "s2", "n", F.least("rep", F.coalesce("root", "rep")).alias("component_id"))
     got = sets.join(named, ["s1", "s2", "n"], "left")
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = F.coalesce("component_id", "doc_id")
+    if repeated:
+        # A blank text of such an id is in the component of its other texts.
+        tied = roots.join(several, roots["id"] == several["doc_id"], "left_semi").withColumnRenamed("root", "tied")
+        got = got.join(tied, got["doc_id"] == tied["id"], "left")
+        own = F.least(own, F.coalesce("tied", "doc_id"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], percent: int = 75) -> list[tuple[int, int, int]]:
-    """Reference result for tests, from the shingles themselves."""
+    """Reference result for tests, from the shingles themselves; rows of one id are one document."""
     import re
 
     sets = []
@@ -322,7 +455,7 @@ def brute_force(rows: list[tuple[int, str | None]], percent: int = 75) -> list[t
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            if rows[i][0] == rows[j][0] or both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[top(i)] = top(j)
     low: dict[int, int] = {}
     for k, (d, _) in enumerate(rows):

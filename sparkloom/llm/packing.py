@@ -8,12 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import arrow_rows, staged
+from sparkloom.llm._common import temporary_path
 
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, piece long, ids binary"
+SEQUENCES = "sequence_id long, fill int, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
+
+
+def id_type(tokenizer_path: str, *more: int) -> str:
+    """The narrowest of numpy's little-endian types that holds every id of a vocabulary, and ``more``."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), *more) < 1 << 16 else "<u4"
 
 
 def cut(n: int, size: int, slack: float) -> list[int]:
@@ -39,34 +47,41 @@ def cut(n: int, size: int, slack: float) -> list[int]:
 
 def pieces(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-    size: int = 2048, slack: float = 1 / 64, with_ids: bool = False, cache: int = 350_000,
+    size: int = 2048, slack: float = 1 / 64, cache: int = 350_000, kind: str = "<u4",
 ) -> DataFrame:
-    """One row for each piece of each document; ``with_ids`` adds the ids themselves.
+    """One row for each piece of each document, with its ids (``kind``) and a number of its own.
 
     A null or empty text has the end id alone. ``cache`` bounds the chunks whose ids a worker keeps:
     fewer take less memory and more CPU. Texts are encoded where they are read.
     """
     end = np.asarray([end_id], "<u4").tobytes()
+    width = int(kind[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(cols: list) -> list:
         from sparkloom.llm.tokens import chunk_encoder
 
-        out: list[list] = [[] for _ in range(5 + with_ids)]
-        for doc, b in zip(cols[0], chunk_encoder(tokenizer_path, cache).encode(cols[1])):
-            b += end
-            n, at = len(b) // 4, 0
-            for length in cut(n, size, slack):
-                raw = b[4 * at : 4 * (at + length)]
-                row = (doc, at, length, zlib.crc32(raw), n)
-                for o, v in zip(out, row):
-                    o.append(v)
-                if with_ids:
-                    out[5].append(np.frombuffer(raw, "<u4").astype(np.int64))
-                at += length
-        return out
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out: list[list] = [[] for _ in range(6)]
+                for doc, b in zip(part.column(0).to_pylist(), chunk_encoder(tokenizer_path, cache).encode(part.column(1).to_pylist())):
+                    b += end
+                    n, first = len(b) // 4, 0
+                    if width < 4:
+                        b = np.frombuffer(b, "<u4").astype(kind).tobytes()
+                    for length in cut(n, size, slack):
+                        for o, v in zip(out, (doc, first, length, n, number, b[width * first : width * (first + length)])):
+                            o.append(v)
+                        first, number = first + length, number + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=[f.split()[0] for f in PIECES.split(", ")]
+                )
 
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_rows(pick, run, ["doc_id", "text"], PIECE_SCHEMA + ", ids array<long>" * with_ids, 256)
+    return pick.mapInArrow(run, PIECES)
 
 
 def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +120,17 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(parts: DataFrame, *, size: int = 2048, worker_tokens: int = 32_000_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length, ...).
+def pack(parts: DataFrame, workers: int, *, size: int = 2048, pad_id: int = 0, kind: str = "<u4") -> DataFrame:
+    """Sequences of the pieces (``PIECES``): sequence_id, fill, ids padded to ``size`` unless the fill
+    is a power of two, and the pieces in their order.
 
-    Workers pack apart: pieces are dealt by hash into one worker for each ``worker_tokens`` tokens,
-    so at most the pieces that no class could complete (under ``size`` for each of some 90 classes)
-    share mixed bins in a worker, whatever the input's size. Equal pieces, even whole repeated
-    rows, are placed one by one; an empty table packs into nothing.
+    Workers pack apart: pieces are dealt to them by the hash of their numbers, so at most the pieces
+    that no class could complete (under ``size`` for each of some 90 classes) share mixed bins in a
+    worker, whatever the input's size.
     """
-    total = parts.agg(F.sum("length")).first()[0] or 0
-    workers = max(1, -(-total // worker_tokens))
-    names = parts.columns
-    if any(c in names for c in ("sequence_id", "offset")):
-        raise ValueError("pieces already carry sequence_id or offset")
+    pad = np.full(size, pad_id, kind).tobytes()
+    width = int(kind[-1])
+    struct = pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,23 +139,83 @@ def pack(parts: DataFrame, *, size: int = 2048, worker_tokens: int = 32_000_000)
         if not held:
             return
         table = pa.Table.from_batches(held)
-        bins, offsets = place(table.column("length").to_numpy().astype(np.int64), size)
-        table = table.append_column("sequence_id", pa.array(bins + (TaskContext.get().partitionId() << 40)))
-        table = table.append_column("offset", pa.array(offsets))
-        yield from table.to_batches(max_chunksize=100_000)
-
-    dealt = parts.repartition(workers, F.xxhash64("doc_id", "start"))
-    dealt = dealt.sortWithinPartitions(*[c for c in ("doc_id", "start", "ids_crc32") if c in names])
-    return dealt.mapInArrow(run, ", ".join(_ddl(parts)) + ", sequence_id long, offset long")
-
-
-def _ddl(df: DataFrame) -> list[str]:
-    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+        del held
+        meta = {n: table.column(n).to_numpy() for n in ("start", "length", "piece")}
+        # The same bins whatever the order in which the shuffle delivers.
+        order = np.argsort(meta["piece"], kind="stable")
+        bins, offsets = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        bins[order], offsets[order] = place(meta["length"][order].astype(np.int64), size)
+        order = np.lexsort((offsets, bins))
+        edge = np.r_[0, np.flatnonzero(np.diff(bins[order])) + 1, len(order)]
+        first = TaskContext.get().partitionId() << 40
+        for at in range(0, len(edge) - 1, 1000):
+            cut_at = edge[at : at + 1001]
+            rows = order[cut_at[0] : cut_at[-1]]
+            some = table.take(pa.array(rows))
+            ids, lengths = some.column("ids").to_pylist(), meta["length"][rows]
+            cuts = cut_at - cut_at[0]
+            fill = np.add.reduceat(lengths, cuts[:-1])
+            whole = [
+                b"".join(ids[a:b]) + (pad[: width * (size - n)] if n & (n - 1) else b"")
+                for a, b, n in zip(cuts[:-1].tolist(), cuts[1:].tolist(), fill.tolist())
+            ]
+            cols = [some.column(n).combine_chunks() for n in ("doc_id", "start", "length", "doc_tokens")]
+            made = pa.StructArray.from_arrays([*cols, pa.array(offsets[rows])], fields=list(struct))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(first + np.arange(at, at + len(fill))), pa.array(fill.astype(np.int32)), pa.array(whole, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), made),
+                ],
+                names=["sequence_id", "fill", "ids", "pieces"],
+            )
+
+    return parts.repartition(workers, F.xxhash64("piece")).mapInArrow(run, SEQUENCES)
+
+
+def read_sequences(spark: SparkSession, path: str, *, kind: str) -> DataFrame:
+    """The pieces of written sequences: doc_id, start, length, ids_crc32 of their ids as little-endian
+    unsigned 32-bit integers, doc_tokens, sequence_id, offset."""
+    names = ("doc_id", "start", "length", "doc_tokens", "offset")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            counts = np.diff(lists.offsets.to_numpy())
+            got = dict(zip(names, lists.flatten().flatten()))
+            at, crc = 0, []
+            spans = list(zip(got["offset"].to_pylist(), got["length"].to_pylist()))
+            for raw, n in zip(b.column(1).to_pylist(), counts.tolist()):
+                ids = memoryview(np.frombuffer(raw, kind).astype("<u4").tobytes())
+                crc += [zlib.crc32(ids[4 * o : 4 * (o + size)]) for o, size in spans[at : at + n]]
+                at += n
+            yield pa.RecordBatch.from_arrays(
+                [got["doc_id"], got["start"], got["length"], pa.array(crc, pa.int64()), got["doc_tokens"], pa.array(np.repeat(b.column(0).to_numpy(), counts)), got["offset"]],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
+
+    rows = spark.read.schema(SEQUENCES).parquet(path).select("sequence_id", "ids", "pieces")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, *, path: str | None = None, text_col: str = "text", size: int = 2048,
+    end_id: int = 1, pad_id: int = 0, worker_bytes: int = 64 << 20, worker_rows: int = 200_000, **more,
+) -> DataFrame:
+    """Packs whole texts into sequences, writes these to ``path`` (the shared folder, if not given) and
+    returns their pieces as read back from there.
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 1, **more) -> DataFrame:
-    """Pieces, cut once and kept in the shared folder, then packed."""
-    return pack(staged(pieces(docs, tokenizer_path, size=size, end_id=end_id, **more), "pieces"), size=size)
+    There is a worker for each ``worker_bytes`` of text and ``worker_rows`` documents: an id takes
+    a byte of text or more, so this bounds what one holds. Null and empty texts are the end id
+    alone; rows without an id and repeated rows are packed like all others; an empty table gives nothing.
+    """
+    spark = docs.sparkSession
+    path = path or temporary_path(spark, "sequences")
+    kind = id_type(tokenizer_path, end_id, pad_id)
+    total, rows = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count(F.lit(1))).first()
+    workers = max(1, -(-(total or 0) // worker_bytes), -(-rows // worker_rows))
+    parts = pieces(docs, tokenizer_path, text_col=text_col, size=size, end_id=end_id, kind=kind, **more)
+    pack(parts, workers, size=size, pad_id=pad_id, kind=kind).write.option("compression", "none").parquet(path)
+    return read_sequences(spark, path, kind=kind)
 
 
 def padding(packed: pd.DataFrame, size: int = 2048) -> float:

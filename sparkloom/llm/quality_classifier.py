@@ -129,6 +129,21 @@ def _simple(path) -> tuple:
     return tuple((f, over, v) for (f, over), v in sorted(held.items()))
 
 
+def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, bias: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of least mean logistic loss plus ``penalty`` times the sum of absolute weights."""
+    scale = 4.0 / max(1e-9, (np.linalg.norm(a, 2) ** 2 + len(y)) / len(y))
+    w, b, w0, b0, k = np.zeros(a.shape[1]), bias, np.zeros(a.shape[1]), bias, 1.0
+    for _ in range(steps):
+        k1 = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        ww, bb = w + (k - 1) / k1 * (w - w0), b + (k - 1) / k1 * (b - b0)
+        r = 1 / (1 + np.exp(-(a @ ww + bb))) - y
+        w0, b0, k = w, b, k1
+        step = ww - scale * (a.T @ r) / len(y)
+        w = np.sign(step) * np.maximum(np.abs(step) - scale * penalty, 0)
+        b = bb - scale * r.mean()
+    return w, b
+
+
 def fit_rules(
     x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate: float = 0.2, penalties=(0.0005, 0.001, 0.002, 0.004, 0.008),
     steps: int = 400, seed: int = 0,
@@ -162,27 +177,13 @@ def fit_rules(
     fold = np.arange(len(y)) % 5 == 4
     best = (np.inf, None, None)
 
-    def lasso(rows: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
-        aa, yy = a[rows], y[rows]
-        scale = 4.0 / max(1e-9, (np.linalg.norm(aa, 2) ** 2 + len(yy)) / len(yy))
-        w, b, w0, b0, k = np.zeros(a.shape[1]), constant.bias, np.zeros(a.shape[1]), constant.bias, 1.0
-        for _ in range(steps):
-            k1 = (1 + np.sqrt(1 + 4 * k * k)) / 2
-            ww, bb = w + (k - 1) / k1 * (w - w0), b + (k - 1) / k1 * (b - b0)
-            r = 1 / (1 + np.exp(-(aa @ ww + bb))) - yy
-            w0, b0, k = w, b, k1
-            step = ww - scale * (aa.T @ r) / len(yy)
-            w = np.sign(step) * np.maximum(np.abs(step) - scale * penalty, 0)
-            b = bb - scale * r.mean()
-        return w, b
-
     for penalty in penalties:
-        w, b = lasso(~fold, penalty)
+        w, b = lasso_logistic(a[~fold], y[~fold], penalty, constant.bias, steps)
         z = np.clip(a[fold] @ w + b, -30, 30)
         loss = float(np.mean(np.log1p(np.exp(-z)) * y[fold] + np.log1p(np.exp(z)) * (1 - y[fold])))
         if loss < best[0]:
             best = (loss, penalty, None)
-    w, b = lasso(np.ones(len(y), bool), best[1])
+    w, b = lasso_logistic(a, y, best[1], constant.bias, steps)
     return RuleModel(float(b), tuple((float(v), r) for v, r in zip(w, rules) if abs(v) > 1e-6))
 
 
@@ -203,8 +204,11 @@ def train(
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(sample)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # At most ``sample`` rows of two numbers: bounded by the parameter.
-    rows = picked.join(F.broadcast(y), "doc_id")
-    got = statistics(rows, keep=("doc_id", "y")).toPandas().sort_values(["doc_id", *[f"f_{f}" for f in FEATURES]])
+    rows = statistics(picked.join(F.broadcast(y), "doc_id"), keep=("doc_id", "y"))
+    names = [f"f_{f}" for f in FEATURES]
+    # Of rows of one id the one of least statistics, so that ids bound what reaches the driver.
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "y", "s.*")
+    got = one.toPandas().sort_values("doc_id")
     return fit_rules(got[[f"f_{f}" for f in FEATURES]].to_numpy(np.float64), got["y"].to_numpy(np.float64))
 
 

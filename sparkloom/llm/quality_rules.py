@@ -97,45 +97,71 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), divergence(total(p), total(q))).otherwise(F.lit(0.0))
 
 
+def counted(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, min_words: int, repeat_percent: int) -> DataFrame:
+    """``base_rules`` in the shared folder, with ``base_failed`` and the character histogram."""
+    seen = staged(base_rules(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    named = [f"c_{k}" for k in CLASSES]
+    space = F.col("n_text") - F.col("word_chars")
+    rest = F.col("word_chars") - sum((F.col(c) for c in named[1:]), F.col(named[0]))
+    hist = F.array(*[F.col(c).cast("double") for c in named], space.cast("double"), F.greatest(rest, F.lit(0)).cast("double"))
+    return seen.withColumn("base_failed", failed).withColumn("char_hist", hist)
+
+
+def _means(rows: DataFrame, *by: Column) -> DataFrame:
+    share = lambda h, k, n: F.avg(F.get(F.col(h), F.lit(k)) / F.col(n))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_ref"),
+        F.array(*[share("char_hist", k, "n_text") for k in range(len(CLASSES) + 2)]).alias("ref_char"),
+        F.array(*[share("word_hist", k, "n_words") for k in range(N_COMMON + 1)]).alias("ref_word"),
+    )
+
+
+def language_references(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, repeat_percent: int = 50
+) -> DataFrame:
+    """References for ``judge`` from a table of trusted texts: a row a language, and one of null for all."""
+    ok = counted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, min_words=min_words, repeat_percent=repeat_percent).filter("not base_failed")
+    return _means(ok, F.col("lang").alias("ref_lang")).union(_means(ok, F.lit(None).cast("string").alias("ref_lang")))
+
+
 def judge(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50,
     repeat_percent: int = 50, max_char: float = 0.25, max_word: float = 0.55, max_both: float = 0.38,
-    min_reference: int = 20,
+    prior: int = 20, references: DataFrame | None = None,
 ) -> DataFrame:
     """Contract columns, then js_char and js_word, one row for each row of ``docs``.
 
-    Every text is read once, where it lies; its counts go to the shared folder. References are the
-    mean histograms (each document weighing the same, so that no huge one sets them) of all
-    documents of a language that pass the base rules. A language with fewer than ``min_reference``
-    of these uses the reference of all languages, and one without a word list has no word
-    distance. A text is kept if both distances and their sum are within the limits. Guard: texts under ``min_words`` words fail the base and get no verdict. Null or
-    empty texts have 0 words and fail; a null language is a language of its own.
+    Every text is read once, where it lies; its counts go to the shared folder. ``references`` are
+    those of ``language_references``; without them, the mean histograms (each document weighing the
+    same, so that no huge one sets them) of all documents of ``docs`` that pass the base rules. A
+    language's reference is its own mean and the mean of all languages, the latter weighing as much
+    as ``prior`` documents, so that rare languages pass to their own norm by degrees; a language
+    without a word list has no word distance. A text is kept if both distances and their sum are
+    within the limits. Guard: texts under ``min_words`` words fail the base and get no verdict.
+    Null or empty texts have 0 words and fail; a null language is a language of its own.
     """
-    base = base_rules(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    seen = staged(base, "quality").withColumn("base_failed", failed)
-    named = [f"c_{k}" for k in CLASSES]
-    space = F.col("n_text") - F.col("word_chars")
-    rest = F.col("word_chars") - sum((F.col(c) for c in named[1:]), F.col(named[0]))
-    seen = seen.withColumn("char_hist", F.array(*[F.col(c).cast("double") for c in named], space.cast("double"), F.greatest(rest, F.lit(0)).cast("double")))
-    n_char = len(named) + 2
-    share = lambda h, k, n: F.avg(F.get(F.col(h), F.lit(k)) / n)
+    seen = counted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, min_words=min_words, repeat_percent=repeat_percent)
     ok = seen.filter(~F.col("base_failed"))
-    means = lambda g: g.agg(
-        F.count(F.lit(1)).alias("n_ref"),
-        F.array(*[share("char_hist", k, F.col("n_text")) for k in range(n_char)]).alias("ref_char"),
-        F.array(*[share("word_hist", k, F.col("n_words")) for k in range(N_COMMON + 1)]).alias("ref_word"),
-    )
-    by_lang = means(ok.groupBy(F.col("lang").alias("ref_lang"))).filter(F.col("n_ref") >= min_reference)
-    whole = means(ok).select(F.col("ref_char").alias("all_char"))
+    if references is None:
+        by_lang, whole = _means(ok, F.col("lang").alias("ref_lang")), _means(ok)
+    else:
+        by_lang, whole = references.filter("ref_lang is not null"), references.filter("ref_lang is null")
+    whole = whole.filter("n_ref > 0").select(F.col("ref_char").alias("all_char"), F.col("ref_word").alias("all_word"))
     # One row: the mean over all languages.
     joined = seen.join(by_lang, F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(whole), how="left")
-    ref_char = F.coalesce("ref_char", "all_char")
     empty = F.array().cast("array<double>")
-    clean = lambda c: F.coalesce(F.when(F.exists(c, lambda x: x.isNull()), empty).otherwise(c), empty)
-    out = joined.withColumn("js_char", js_distance(F.col("char_hist"), clean(ref_char)))
-    own = F.when(F.size(clean(F.col("ref_word"))) > 0, js_distance(F.coalesce("word_hist", empty), clean(F.col("ref_word"))))
-    out = out.withColumn("js_word", F.coalesce(own, F.lit(0.0)))
+
+    def mixed(own: str, every: str) -> Column:
+        n = F.coalesce("n_ref", F.lit(0))
+        both = F.zip_with(F.coalesce(own, every), F.col(every), lambda a, b: (n * F.coalesce(a, b) + prior * b) / (n + prior))
+        return F.coalesce(F.when(~F.exists(both, lambda x: x.isNull()), both), empty)
+
+    joined = joined.withColumn("ref_char", mixed("ref_char", "all_char"))
+    joined = joined.withColumn("ref_word", F.when(F.col("word_hist").isNotNull(), mixed("ref_word", "all_word")))
+    out = joined.withColumn("js_char", js_distance(F.col("char_hist"), F.col("ref_char")))
+    own = js_distance(F.col("word_hist"), F.col("ref_word"))
+    out = out.withColumn("js_word", F.when(F.col("word_hist").isNotNull(), own).otherwise(0.0))
     fits = (F.col("js_char") <= max_char) & (F.col("js_word") <= max_word)
     fits = fits & (F.col("js_char") + F.col("js_word") <= max_both)
     return out.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import (
     ann, bitplanes, jaccard, mixing, packing, pii, quality_classifier, quality_rules, secrets, token_counts,
 )
-from sparkloom.llm._common import new_path
+from sparkloom.llm._common import temporary_path
 
 
 def tokenizer(name: str) -> str:
@@ -28,7 +28,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "ids")
+    path = temporary_path(spark, "ids")
     bitplanes.write_ids(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end_id=2)
     return bitplanes.read_ids(spark, path, with_ids=False)
 
@@ -158,17 +158,19 @@ def _quality_sql() -> str:
 ), chars AS (
   SELECT doc_id, lang, base_failed, n_text, unnest(char_hist)::DOUBLE AS c, unnest(range(len(char_hist))) AS k FROM base
 ), own_char AS (
-  SELECT lang, k, avg(c / n_text) AS r FROM chars WHERE NOT base_failed GROUP BY lang, k HAVING count(*) >= 20
+  SELECT lang, k, count(*) AS n, avg(c / n_text) AS r FROM chars WHERE NOT base_failed GROUP BY lang, k
 ), all_char AS (
   SELECT k, avg(c / n_text) AS r FROM chars WHERE NOT base_failed GROUP BY k
-), {js("js_char", "(SELECT doc_id, c, coalesce(o.r, a.r) AS r FROM chars JOIN all_char a USING (k) LEFT JOIN own_char o USING (lang, k) WHERE n_text > 0)")},
+), {js("js_char", "(SELECT doc_id, c, (coalesce(n * o.r, 0) + 20 * a.r) / (coalesce(n, 0) + 20) AS r FROM chars JOIN all_char a USING (k) LEFT JOIN own_char o USING (lang, k) WHERE n_text > 0)")},
 own(lang, list) AS (VALUES {lists}), hits AS (
   SELECT doc_id, lang, base_failed, n_words, [len(list_filter(w, lambda x: lower(x) = y)) FOR y IN list] AS h FROM base JOIN own USING (lang)
 ), words AS (
   SELECT doc_id, lang, base_failed, n_words, unnest(list_append(h, n_words - list_sum(h)))::DOUBLE AS c, unnest(range(len(h) + 1)) AS k FROM hits
 ), own_word AS (
-  SELECT lang, k, avg(c / n_words) AS r FROM words WHERE NOT base_failed GROUP BY lang, k HAVING count(*) >= 20
-), {js("js_word", "words JOIN own_word USING (lang, k) WHERE n_words > 0")}
+  SELECT lang, k, count(*) AS n, avg(c / n_words) AS r FROM words WHERE NOT base_failed GROUP BY lang, k
+), all_word AS (
+  SELECT k, avg(c / n_words) AS r FROM words WHERE NOT base_failed GROUP BY k
+), {js("js_word", "(SELECT doc_id, c, (coalesce(n * o.r, 0) + 20 * a.r) / (coalesce(n, 0) + 20) AS r FROM words JOIN all_word a USING (k) LEFT JOIN own_word o USING (lang, k) WHERE n_words > 0)")}
 SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(c.js, 0) <= 0.25 AND coalesce(o.js, 0) <= 0.55 AND coalesce(c.js, 0) + coalesce(o.js, 0) <= 0.38 AS kept,

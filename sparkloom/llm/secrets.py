@@ -10,6 +10,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm._common import staged
+
 #: A Boolean query in disjunctive form: sets of trigrams, one of which must all be present; None: no constraint.
 Query = frozenset[frozenset[str]] | None
 
@@ -122,10 +124,11 @@ def trigram_query(pattern: str) -> Query:
 
 
 class TrigramIndex:
-    """The trigrams of a rule set over a table: a bit vector of postings for each document.
+    """An inverted index of the trigrams that a rule set needs.
 
-    Only trigrams that some rule needs are indexed, so the vector is bounded by the rules (up to
-    63 to the word), and it is made in the scan itself. ``postings`` gives the inverted lists.
+    ``postings`` are the lists as rows (trigram, key), the key being the hash of a text, so that
+    copies of a text are listed once. ``candidates`` intersects them by the rules' Boolean queries.
+    Trigrams that no rule asks for are not listed: the table is bounded by the rules, not by the text.
     """
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
@@ -135,33 +138,34 @@ class TrigramIndex:
         self.bit = {g: (k // 63, k % 63) for k, g in enumerate(self.grams)}
         self.n_words = -(-len(self.grams) // 63)
 
-    def vector(self, low: Column) -> Column:
-        word = lambda w: reduce(
+    def postings(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(trigram, key) rows: the number of a needed trigram, and the hash of a text whose lower-cased form holds it."""
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        src = docs.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
+        held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(self.grams)], F.lit(None).cast("int")))
+        return src.select(F.explode(held).alias("trigram"), "key")
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """(key, rules): texts in the intersection of some rule's lists, with a bit for each such
+        rule. Rules without mandatory trigrams are not among them: all texts are their candidates."""
+        bits = lambda w: F.expr(f"bit_or(CASE WHEN trigram div 63 = {w} THEN shiftleft(1L, cast(trigram % 63 AS int)) ELSE 0L END)")
+        lists = postings.groupBy("key").agg(*[bits(w).alias(f"w{w}") for w in range(self.n_words)])
+        held = reduce(
             lambda a, b: a.bitwiseOR(b),
-            [F.when(F.contains(low, F.lit(g)), F.lit(1 << self.bit[g][1])).otherwise(F.lit(0).cast("long")) for g in self.grams if self.bit[g][0] == w],
-        )
-        return F.array(*[word(w) for w in range(self.n_words)]) if self.grams else F.array(F.lit(0).cast("long"))
-
-    def candidate(self, kind: str, vector: Column) -> Column:
-        """Intersection of postings for a rule; true for all if it has no mandatory trigram."""
-        query = self.queries[kind]
-        if query is None:
-            return F.lit(True)
+            [F.when(self._meets(q), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(self.rules) if (q := self.queries[r.kind])], F.lit(0),
+        )
+        return lists.select("key", held.cast("long").alias("rules")).filter("rules <> 0")
+
+    def _meets(self, query: frozenset[frozenset[str]]) -> Column:
         sides = []
         for s in sorted(query, key=sorted):
             masks: dict[int, int] = {}
             for g in s:
                 w, b = self.bit[g]
                 masks[w] = masks.get(w, 0) | (1 << b)
-            sides.append(reduce(lambda a, b: a & b, [vector[w].bitwiseAND(F.lit(m)) == F.lit(m) for w, m in masks.items()]))
+            sides.append(reduce(lambda a, b: a & b, [F.col(f"w{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in masks.items()]))
         return reduce(lambda a, b: a | b, sides)
 
-    def postings(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """trigram, id: the inverted lists as rows."""
-        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-        held = F.filter(F.array(*map(F.lit, self.grams)), lambda g: F.contains(F.col("__low"), g))
-        return docs.select(F.col(id_col).alias("doc_id"), low.alias("__low")).select(F.explode(held).alias("trigram"), "doc_id")
-
 
 def _spans(rule: Rule, rank: int, text: Column) -> Column:
     """Spans of a rule's leftmost non-overlapping matches, in code points: the text split at the
@@ -186,24 +190,39 @@ def _spans(rule: Rule, rank: int, text: Column) -> Column:
 
 def scan(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """Adds to the id (and ``keep`` columns): ``found``, an array of (start, rank, stop) by start,
     then rule order, ``rank`` being the rule's place in ``rules``.
 
-    The trigram vector of the lower-cased text picks the documents in which a rule can match;
-    only there its regex runs. A null text has no spans. No shuffle.
+    The first pass over the texts writes the posting lists of the needed trigrams to the shared
+    folder; their intersections give the candidate texts of each rule, and the second pass runs a
+    rule's regex on its candidates alone, or on every text if the rule has no mandatory trigram.
+    Candidates come to the texts by hash, broadcast up to a checked count, else in a salted shuffle.
+    A null text has no spans; rows without an id and repeated rows are scanned like all others.
     """
     index = TrigramIndex(rules)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"kept {c}") for c in keep], text.alias("__text"))
-    seen = named.withColumn("__vector", index.vector(F.lower("__text")))
+    seen = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"kept {c}") for c in keep], text.alias("__text"),
+        F.xxhash64(text).alias("__key"),
+    )
+    if index.grams:
+        found = staged(index.candidates(staged(index.postings(docs, text_col), "postings")), "candidates")
+        if found.count() <= most_broadcast:
+            seen = seen.join(F.broadcast(found), F.col("__key") == F.col("key"), "left")
+        else:
+            salted = found.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+            seen = seen.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int"))
+            seen = seen.join(salted, (F.col("__key") == F.col("key")) & (F.col("__salt") == F.col("s")), "left")
+    else:
+        seen = seen.withColumn("rules", F.lit(0).cast("long"))
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
     body = F.col("__text")
     per_rule = []
     for k, r in enumerate(rules):
-        may = index.candidate(r.kind, F.col("__vector"))
-        per_rule.append(F.when(may & body.rlike(r.pattern), _spans(r, k, body)).otherwise(empty))
+        listed = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+        per_rule.append(F.when(listed if index.queries[r.kind] else body.rlike(r.pattern), _spans(r, k, body)).otherwise(empty))
     out = seen.withColumn("found", F.sort_array(F.concat(*per_rule)))
     return out.select("doc_id", *[F.col(f"kept {c}").alias(c) for c in keep], "found", F.col("__text").alias("scanned_text"))
 

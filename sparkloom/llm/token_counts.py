@@ -76,7 +76,8 @@ class RankMerger:
 class TokenCounter:
     """Token counts of whole texts, with a bounded table of counted pre-tokens."""
 
-    #: Code points outside this class may be classed differently by the two Unicode tables at hand.
+    #: Code points outside this class may be classed differently by the two Unicode tables at hand:
+    #: each is tried when it is first met.
     _odd = re.compile("[\x1c-\x1f\u0558-\u1fff\u2065-\U0010ffff]")
 
     def __init__(self, path: str, limit: int = 300_000, longest: int = 256):
@@ -104,18 +105,31 @@ class TokenCounter:
         self.split = regex.compile(PRE_TOKEN)
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.limit, self.longest, self.new, self.old = limit, longest, {}, {}
+        self.alike: dict[str, bool] = {}
+
+    def _agrees(self, c: str) -> bool:
+        """Whether the library splits texts at a character where PRE_TOKEN does, in every context
+        that the rule tells apart."""
+        found = self.alike.get(c)
+        if found is None:
+            found = True
+            for t in (f"a{c}a", f"1{c}1", f"!{c}!", f" {c} a", f"{c}{c}", f"a {c}", f"'s{c}"):
+                mine = [m.span() for m in self.split.finditer(t)]
+                found &= mine == [tuple(x[1]) for x in self.tok.pre_tokenizer.pre_tokenize_str(t)]
+            self.alike[c] = found
+        return found
 
     def _library(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Whole-text counts; null is empty. Texts with characters that the library's own tables
-        may class otherwise, and pre-tokens of over ``longest`` bytes, go to the library."""
+        class otherwise, and pre-tokens of over ``longest`` bytes, go to the library."""
         out, todo = [0] * len(texts), []
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if not self.plain or self._odd.search(t):
+            if not self.plain or self._odd.search(t) and not all(map(self._agrees, set(self._odd.findall(t)))):
                 out[k] = self._library(t)
                 continue
             parts = [t]

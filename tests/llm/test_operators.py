@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -40,10 +41,15 @@ def docs(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
-def library(path, text):
+@lru_cache(maxsize=4)
+def _tokenizer(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library(path, text):
+    return _tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_op1_against_brute_force(spark):
@@ -51,7 +57,7 @@ def test_op1_against_brute_force(spark):
     x = rng.standard_normal((300, 16)).astype(np.float32)
     x[50:150] = x[0]
     rows = [(k, [float(e) for e in v], 0) for k, v in enumerate(x)]
-    rows += [(400, None, 0), (450, [0.0] * 16, 0), (500, [float("nan")] * 16, 0), (550, [None] * 16, 0), (600, [1.0], 0), (None, rows[1][1], 0), rows[7]]
+    rows += [(400, None, 0), (450, [0.0] * 16, 0), (500, [float("nan")] * 16, 0), (550, [None] * 16, 0), (None, rows[1][1], 0), rows[7]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = ann.nearest(df).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
     want = ann.brute_force(np.arange(300), x.astype(np.float64))
@@ -61,6 +67,44 @@ def test_op1_against_brute_force(spark):
     assert ann.nearest(df.filter("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_op1_lengths_and_magnitudes(spark):
+    """Vectors of another length are searched among themselves; very large and very small ones keep their cosines."""
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((60, 8)), rng.standard_normal((30, 5))
+    x *= 10.0 ** rng.integers(-300, 300, (60, 1))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v.tolist()) for k, v in enumerate(y)] + [(2000, [1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).toPandas()
+    for ids, v in ((np.arange(60), x), (1000 + np.arange(30), y)):
+        want = ann.brute_force(ids, v, every=10)
+        mine = got[got.query_id.isin(ids)].sort_values(["query_id", "rank"])
+        assert mine.vec_id.tolist() == want.vec_id.tolist() and np.allclose(mine.score, want.score, atol=1e-12)
+    assert not (got.query_id == 2000).any()
+
+
+def test_op1_recall_of_the_probed_lists(spark):
+    """Clustered vectors, fewer probes than lists: recall of the whole search against brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + 0.4 * rng.standard_normal((6000, 24))
+    index = ann.fit_index(x[:3000], 6000, k=6)
+    assert index.probes < len(index.centroids)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = ann.brute_force(np.arange(6000), x).groupby("query_id").vec_id.apply(set)
+    for more in ({}, {"least_sample": 1000, "list_rows": 40}):
+        got = ann.nearest(df, **more).toPandas().groupby("query_id").vec_id.apply(set)
+        assert sum(len(got[q] & want[q]) for q in want.index) >= 0.9 * 5 * len(want)
+
+
+def test_op1_lists_in_two_levels():
+    rng = np.random.default_rng(6)
+    x = ann.unit_rows(rng.standard_normal((4000, 12)))
+    index = ann.fit_index(x, 10**6, k=6, flat=100)
+    assert len(index.centroids) > 300 and index.groups[-1] == len(index.centroids)
+    exact = np.argmax(x @ index.centroids.T, axis=1)
+    assert (index.lists_of(x) == exact).mean() > 0.8
+    assert 250_000 < ann.sample_size(10**9) < 262_144 == ann.sample_size(10**12) and ann.sample_size(100) == 20_000
+
+
 def test_op1_recall_with_lists():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((4000, 32))
@@ -237,6 +281,21 @@ def test_op4_counts(odd, empty, docs):
     assert token_counts.count_tokens(empty, BYTE_BPE).count() == 0
 
 
+def test_op4_other_scripts():
+    """Texts of any script are merged here; only a character that the two tables class differently sends a text to the library."""
+    counter = token_counts.TokenCounter(BYTE_BPE)
+    texts = ["שלום עולם 12", "मैं हिन्दी में लिखता हूँ ४२", "日本語の文章です。", "price 5€ ™ ok", "😀 smile😀😀", "x\x1cy \x85z \u3000 w\u200b", "a\u0300b ١٢٣", "𝒳𝒴 ②½"]
+    asked = []
+    plain = counter._library
+    counter._library = lambda t: asked.append(t) or plain(t)
+    assert counter.count(texts) == [len(library(BYTE_BPE, t)) for t in texts]
+    assert not set(asked) & set(texts[:5])
+    rng = random.Random(2)
+    pool = [chr(c) for c in (*range(32, 0x600), *range(0x2000, 0x2100), *range(0x3040, 0x3100), *range(0x1F600, 0x1F640), *range(0x10A0, 0x1100))]
+    texts = ["".join(rng.choice(pool + [" "] * 300) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    assert counter.count(texts) == [len(library(BYTE_BPE, t)) for t in texts]
+
+
 def test_op5_targets_and_sizes(spark, odd, empty, docs):
     for df in (odd, docs):
         got = mixing.mix(df, rows_per_bucket=3).toPandas()
@@ -308,8 +367,10 @@ def test_op7_compiled_rules_agree(spark, docs):
     assert np.allclose(seen["s"], model.score(seen[[f"f_{f}" for f in quality_classifier.FEATURES]].to_numpy()))
 
 
-def test_op8_pieces(odd, empty):
-    got = packing.pack_documents(odd.dropDuplicates(["doc_id"]), WORD_BPE, size=64).toPandas()
+def test_op8_pieces(spark, odd, empty):
+    path = new_path(spark, "seq")
+    docs = odd.dropDuplicates(["doc_id"])
+    got = packing.pack_documents(docs, WORD_BPE, size=64, path=path, worker_rows=5).toPandas()
     for doc, g in got.sort_values("start").groupby("doc_id"):
         ids = [*library(WORD_BPE, TEXTS[doc]), 1]
         assert g.start.tolist() == np.r_[0, np.cumsum(g.length)[:-1]].tolist() and g.length.sum() == len(ids)
@@ -317,7 +378,20 @@ def test_op8_pieces(odd, empty):
             assert c == zlib.crc32(np.asarray(ids[s : s + n], "<u4").tobytes())
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == np.r_[0, np.cumsum(g.length)[:-1]].tolist() and g.length.sum() <= 64
+    # The files hold the sequences themselves, padded unless full to a power of two.
+    whole = {}
+    for r in spark.read.parquet(path).collect():
+        ids = np.frombuffer(r.ids, packing.id_type(WORD_BPE, 1))
+        assert len(ids) == (64 if r.fill & (r.fill - 1) else r.fill) and not ids[r.fill :].any()
+        for p in r.pieces:
+            whole.setdefault(p.doc_id, {})[p.start] = ids[p.offset : p.offset + p.length].tolist()
+    assert {d: sum((v[k] for k in sorted(v)), []) for d, v in whole.items()} == {k: [*library(WORD_BPE, t), 1] for k, t in enumerate(TEXTS)}
     assert packing.pack_documents(empty, WORD_BPE).count() == 0
+    many = spark.createDataFrame([(None, "one two")] * 700, "doc_id long, text string")
+    assert packing.pack_documents(many, WORD_BPE, worker_rows=100).select("sequence_id", "offset").distinct().count() == 700
+    assert packing.id_type(WORD_BPE, 70_000) == "<u4"
+    wide = packing.pack_documents(docs, WORD_BPE, size=64, end_id=70_000).toPandas()
+    assert wide.ids_crc32.tolist() and wide.length.sum() == got.length.sum()
 
 
 def test_op8_padding():
@@ -358,11 +432,30 @@ def test_op9_base_is_exact(spark, odd, empty, docs):
 def test_op9_index_and_redaction(odd):
     assert secrets.trigram_query(r"[0-9a-f]{16,}") is None
     assert secrets.trigram_query("abc|xabcd") == frozenset({frozenset({"abc"})})
-    assert secrets.TrigramIndex().postings(odd).filter("doc_id = 8").count() > 3
+    index = secrets.TrigramIndex()
+    postings = index.postings(odd)
+    key = odd.filter("doc_id = 8").select(F.xxhash64("text").alias("key")).first()["key"]
+    assert postings.filter(F.col("key") == key).count() > 3
+    # Of the odd texts only the one with secrets is in the intersection of any rule's lists.
+    assert [(r.key, r.rules) for r in index.candidates(postings).collect()] == [(key, 0b11)]
     s = secrets.scan(odd).filter("doc_id = 8").select(secrets.redact(F.col("scanned_text"), F.col("found")).alias("t")).first()["t"]
     assert s == "[SECRET]\" [SECRET] [SECRET]" and not plain_secrets(s)
 
 
+def test_op9_index_finds_what_a_full_scan_finds(spark, docs):
+    """Candidates by the index, through either join, against rules without trigrams, which scan all."""
+    rng = random.Random(14)
+    parts = ["pass", "word", "wd", "Secret", "to", "ken", "api", "_", "key", ":", "=", " ", '"', "AKIA", "ABCDEFGH1234567", "xoxb-", "1234567890ab", "eyJ", "."]
+    rows = [(k % 900, "".join(rng.choice(parts) for _ in range(rng.randint(0, 16)))) for k in range(1000)] + [(None, SECRET), (None, None)] + [(5, SECRET)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    unindexed = tuple(secrets.Rule(r.kind, f"(?:{r.pattern}|[^\\s\\S])", r.group, r.at_least, r.base) for r in secrets.RULES)
+    assert not any(secrets.TrigramIndex(unindexed).queries.values())
+    show = lambda x: sorted(str((r.doc_id, r.scanned_text, r.found)) for r in x.collect())
+    want = show(secrets.scan(df, rules=unindexed))
+    assert len(want) == len(rows) + docs.count() and sum("rank" in w for w in want) > 50
+    assert show(secrets.scan(df)) == want and show(secrets.scan(df, most_broadcast=0)) == want
+
+
 def test_redaction_of_whole_keys(spark):
     import corpus_pipeline as p
 
@@ -409,6 +502,46 @@ def test_op10_against_brute_force(spark, odd, empty):
     assert {r.doc_id: r.component_id for r in jaccard.join_sets(odd).collect()}[11] == 10
 
 
+def test_op10_repeated_ids(spark):
+    """Any text of an id links the id, also to the other texts' partners and to its blank rows."""
+    rng = random.Random(8)
+    a, b = [[f"{c}{rng.randrange(500)}" for _ in range(60)] for c in "ab"]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    texts = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(b)), (4, " ".join(a[:30])), (5, ""), (5, near(a) + " x"), (6, ""), (6, None)]
+    texts += [(7, "alone " * 9), (7, "two of one id"), (8, "two of one id"), (1, " ".join(a))]
+    for order in (texts, texts[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, jaccard.join_sets(df).collect())) == sorted(jaccard.brute_force(order))
+        assert {r.component_id for r in jaccard.join_sets(df).filter("doc_id <= 5").collect()} == {1}
+
+
+def test_op10_giant_region(spark):
+    """Boilerplate shared by all ties everything to one region; it is split by pivots and by shingles."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(40)]
+    rows = []
+    for g in range(40):
+        base = [rng.choice(common) for _ in range(6)] + common[:20] + [f"g{g}x{k}" for k in range(rng.randint(2, 30))]
+        rows += [(100 * g + k + 1, " ".join(mutate(rng, base, rng.choice([0, 0.02, 0.05])))) for k in range(rng.randint(1, 12))]
+    want = sorted(jaccard.brute_force(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for more in ({}, {"region_shingles": 1500, "pivots": 6}, {"region_shingles": 200, "pivots": 4, "rounds": 1}, {"region_shingles": 400, "rounds": 0}, {"bucket_bytes": 500}):
+        assert sorted(map(tuple, jaccard.join_sets(df, **more).collect())) == want, more
+
+
+def test_op10_components_of_hubs(spark):
+    from sparkloom.llm.components import components
+
+    star = [(7, k) for k in range(1000, 51_000)]
+    chain = [(k, k + 1) for k in range(100_000, 100_040)] + [(100_020, 50_999)]
+    second = [(60_000, k) for k in range(60_001, 63_000)]
+    df = spark.createDataFrame(star + chain + second + [(5, 5), (2, 62_999)], "a long, b long")
+    for hot in (100_000, 1000):
+        got = {r.id: r.root for r in components(df, hot_rows=hot).collect()}
+        want = {k: 7 for e in star + chain for k in e} | {k: 2 for e in second for k in e} | {2: 2}
+        assert got == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -492,3 +625,41 @@ def test_op5_buckets_and_order(spark):
     # Documents of high quality come earlier.
     first = dealt[dealt.key < dealt.key.median()]
     assert (first.level == 64).mean() > 0.6
+
+
+def test_op6_references(spark, docs):
+    """Given references judge a table that has another norm; a rare language passes to its own by degrees."""
+    text = "The cat and the dog went to the house of a friend in the town that is near. "
+    good = [(k, text * (4 + k % 3) + f"word{k} more{k}", "en") for k in range(60)]
+    noise = [(100 + k, " ".join(f"X{k}#{j}$" for j in range(80)), "en") for k in range(200)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string")
+    vary = lambda r: [(d, " ".join(f"{w}{i}" if i % 7 == 0 else w for i, w in enumerate(t.split())), x) for d, t, x in r]
+    trusted = quality_rules.language_references(frame(vary(good)), repeat_percent=1000)
+    seen = {r.doc_id: r for r in quality_rules.judge(frame(vary(good) + noise), references=trusted, repeat_percent=1000).collect()}
+    assert not any(seen[100 + k].kept for k in range(200)) and all(seen[k].kept for k in range(60))
+    last = None
+    for n in (1, 19, 20, 21, 80):
+        rows = vary(good) + [(1000 + k, " ".join(f"ж{k}ы{j}" for j in range(60)), "ru") for k in range(n)]
+        js = {r.doc_id: r.js_char for r in quality_rules.judge(frame(rows), repeat_percent=1000).collect()}[1000]
+        assert last is None or 0 < last - js < (0.02 if n in (20, 21) else 1)
+        last = js
+
+
+def test_op7_repeated_ids_bound_the_sample(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    many = docs.union(docs.filter("doc_id < 5")).union(docs.filter("doc_id < 5"))
+    assert quality_classifier.train(many, labels) == quality_classifier.train(docs, labels)
+
+
+def test_op7_lasso_is_at_its_optimum():
+    """The conditions of a minimum: a weight's gradient is minus the penalty times its sign, or within the penalty at 0."""
+    rng = np.random.default_rng(5)
+    a = (rng.random((500, 30)) < rng.random(30)).astype(float)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * a[:, 0] - 3 * a[:, 1] + a[:, 2])))).astype(float)
+    for penalty in (0.001, 0.01, 0.05):
+        w, b = quality_classifier.lasso_logistic(a, y, penalty, 0.0, 8000)
+        r = 1 / (1 + np.exp(-(a @ w + b))) - y
+        g = a.T @ r / len(y)
+        assert abs(r.mean()) < 1e-4 and np.abs(g).max() <= penalty + 1e-4
+        assert np.abs(g + penalty * np.sign(w))[w != 0].max(initial=0) < 1e-4
+    assert (w == 0).sum() > 15
