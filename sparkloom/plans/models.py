@@ -17,13 +17,16 @@ class ModelBuilder:
     """Builds a model from its source: only the columns, joins and aggregates that are needed.
 
     To-one paths are left joins that keep the base rows, one for each path prefix, so two roles of
-    one model and branching paths stay apart. A calculation with an aggregate groups the joined
-    children by the base's primary key and joins back. Row rules filter what a model yields, also
-    where it is the target of a relationship.
+    one model and branching paths stay apart. Each aggregate of a calculation is taken over its own
+    path to the many side: the children are grouped by their foreign key, all aggregates over one
+    path at once, and joined to the base, so paths never multiply each other's rows. Row rules
+    filter what a model yields, also where it is the target of a relationship.
     """
 
     def __init__(self, spark: SparkSession, manifest: Manifest, sources: dict[str, DataFrame], props: dict[str, object] | None = None):
         self.spark, self.manifest, self.sources, self.props = spark, manifest, sources, props or {}
+        #: Whether everything built so far comes from registered sources, whose plans stay valid.
+        self.settled = True
 
     # -- lineage ---------------------------------------------------------------------------------
 
@@ -85,16 +88,18 @@ class ModelBuilder:
             for name in (model.table, model.table.rsplit(".", 1)[-1]):
                 if name in self.sources:
                     return self.sources[name]
+            self.settled = False
             return self.spark.table(model.table)
-        # Analysis is eager, so the names are needed only until the statement has its plan.
-        used = [n for n in self.sources if n.lower() in exprs.names(model.ref_sql)]
-        for name in used:
-            self.sources[name].createOrReplaceTempView(name)
+        # Registered sources come in under their names as CTEs over views of this statement alone,
+        # so no view of the session is hidden. Analysis is eager: the views go as soon as there is a plan.
+        used = {n: f"sparkloom_source_{next(_fresh)}" for n in self.sources if n.lower() in exprs.names(model.ref_sql)}
+        for name, view in used.items():
+            self.sources[name].createOrReplaceTempView(view)
         try:
-            return self.spark.sql(model.ref_sql)
+            return self.spark.sql(exprs.with_ctes([(n, f"SELECT * FROM {v}") for n, v in used.items()], model.ref_sql))
         finally:
-            for name in used:
-                self.spark.catalog.dropTempView(name)
+            for view in used.values():
+                self.spark.catalog.dropTempView(view)
 
     def build(self, name: str, needed: list[str] | None = None, stack: tuple[str, ...] = ()) -> DataFrame:
         model = self.manifest.model(name)
@@ -167,15 +172,84 @@ class ModelBuilder:
         picked = [F.expr(c.expression if c.expression else exprs.quote(c.name)).alias(c.name) for c in plain]
         df = src.select(*picked) if picked else src.select(F.lit(1).alias("_row"))
         calculated = [c for c in order if c.calculated]
-        far = [p for c in calculated if not exprs.has_aggregate(c.expression) for p in self.uses(model, c.expression)[1]]
+        aggregated = {c.name: exprs.split_aggregates(c.expression) for c in calculated if self.uses(model, c.expression)[1] and exprs.has_aggregate(c.expression)}
+        outside = [" ".join(t for call, t in aggregated[c.name] if not call) if c.name in aggregated else c.expression for c in calculated]
+        far = list(dict.fromkeys(p for text in outside for p in self.uses(model, text)[1]))
+        if many := next((p for p in far if self.chain(model, p)), None):
+            raise ManifestError("TO_MANY_WITHOUT_AGGREGATE", f"{model.name}: {'.'.join(many)}")
         df, place = self.join_paths(model, df, far, stack)
+        df, held = self.aggregates(model, df, [t for parts in aggregated.values() for call, t in parts if call], stack)
         for c in calculated:
-            if self.uses(model, c.expression)[1] and exprs.has_aggregate(c.expression):
-                df = self.to_many(model, df, c, stack)
+            text = c.expression
+            if c.name in aggregated:
+                rest = []
+                for call, t in aggregated[c.name]:
+                    if call and t not in held:
+                        # It also names the base's own columns, which exist only by now.
+                        df, held[t] = self.beside_children(model, df, t, stack)
+                    rest.append(held[t] if call else exprs.rewrite(t, lambda p: self.named(model, p, place)))
+                text = "".join(rest)
             else:
-                df = df.withColumn(c.name, F.expr(exprs.rewrite(c.expression, lambda p: self.named(model, p, place))))
+                text = exprs.rewrite(text, lambda p: self.named(model, p, place))
+            df = df.withColumn(c.name, F.expr(text))
         return df
 
+    def chain(self, model: Model, path: tuple[str, ...]) -> tuple[str, ...]:
+        """The part of a path up to its last step to the many side; empty if all steps are to one."""
+        end, at = 0, model
+        for k, step in enumerate(path[:-1]):
+            col = at.column(step)
+            if col is None or not col.relationship:
+                break
+            rel, target, _ = self.relation(at, col)
+            forward = rel.models[0] == at.name and target.name == rel.models[1]
+            if rel.sides[1 if forward else 0] == "MANY":
+                end = k + 1
+            at = target
+        return path[:end]
+
+    def trunk(self, model: Model, call: str) -> tuple[str, ...]:
+        """The one path to the many side that an aggregate is over."""
+        paths = self.uses(model, call)[1]
+        chains = sorted({self.chain(model, p) for p in paths}, key=len)
+        for c in chains:
+            if chains[-1][: len(c)] != c:
+                raise ManifestError("AGGREGATE_PATHS_MIXED", f"{model.name}: {call} is over {'.'.join(c)} and {'.'.join(chains[-1])}")
+        return chains[-1] or (paths[0][:1] if paths else ())
+
+    def aggregates(self, model: Model, df: DataFrame, calls: list[str], stack: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+        """Joins the values of aggregates that are over children alone; text of each by call."""
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for t in dict.fromkeys(calls):
+            local, far = self.uses(model, t)
+            trunk = self.trunk(model, t)
+            if far and not local and {p[0] for p in far} == {trunk[0]}:
+                groups.setdefault(trunk, []).append(t)
+        held: dict[str, str] = {}
+        for trunk, texts in groups.items():
+            col = model.column(trunk[0])
+            _, target, keys = self.relation(model, col)
+            paths = list(dict.fromkeys(p[1:] for t in texts for p in self.uses(model, t)[1]))
+            deeper = [p for p in paths if len(p) > 1]
+            direct = {p[0] for p in paths if len(p) == 1} | {b for _, b in keys}
+            for p in paths:
+                if target.column(p[0]) is None:
+                    raise ManifestError("COLUMN_NOT_FOUND", f"{target.name}.{p[0]}")
+            direct |= {a for p in deeper for a, _ in self.relation(target, target.column(p[0]))[2]}
+            child = self.build(target.name, sorted(target.column(n).name for n in direct), stack)
+            child, place = self.join_paths(target, child, deeper, stack)
+            n, values = next(_fresh), []
+            for k, t in enumerate(texts):
+                text = exprs.rewrite(t, lambda p: self.named(target, p[1:] if p[0] == trunk[0] else p[2:] if p[0] == model.name else p, place))
+                name = f"_value.{n}.{k}"
+                values.append(F.expr(text).alias(name))
+                held[t] = exprs.of_nothing(t, exprs.quote(name))
+            by = [F.col(exprs.quote(target.column(b).name)).alias(f"_key.{n}.{b}") for _, b in keys]
+            summed = child.groupBy(*by).agg(*values)
+            on = [df[exprs.quote(model.column(a).name)] == summed[exprs.quote(f"_key.{n}.{b}")] for a, b in keys]
+            df = df.join(summed, on, "left")
+        return df, held
+
     @staticmethod
     def named(model: Model, p: tuple[str, ...], place: dict[tuple[str, ...], str]) -> str | None:
         if len(p) > 1 and p[0] == model.name:
@@ -219,13 +293,16 @@ class ModelBuilder:
         name = model.column(name).name
         return f"_{prefix}{name}" if prefix else name
 
-    def to_many(self, model: Model, df: DataFrame, col: Column, stack: tuple[str, ...]) -> DataFrame:
-        local, far = self.uses(model, col.expression)
+    def beside_children(self, model: Model, df: DataFrame, call: str, stack: tuple[str, ...]) -> tuple[DataFrame, str]:
+        """An aggregate that also names the base's columns: the base joined with the children of its
+        one path, grouped by the primary key."""
+        local, far = self.uses(model, call)
         keys = [model.column(k).name for k in model.primary_key]
         ends = [a for p in far for a, _ in self.relation(model, model.column(p[0]))[2]]
         base = self.columns(model, list(dict.fromkeys([*keys, *local, *ends])), stack)
         joined, place = self.join_paths(model, base, far, stack)
-        value = F.expr(exprs.rewrite(col.expression, lambda p: self.named(model, p, place))).alias(col.name)
-        summed = joined.groupBy(*[F.col(exprs.quote(k)).alias(f"_key.{k}") for k in keys]).agg(value)
-        on = [df[exprs.quote(k)] == summed[exprs.quote(f"_key.{k}")] for k in keys]
-        return df.join(summed, on, "left").drop(*[F.col(exprs.quote(f"_key.{k}")) for k in keys])
+        n = next(_fresh)
+        value = F.expr(exprs.rewrite(call, lambda p: self.named(model, p, place))).alias(f"_value.{n}")
+        summed = joined.groupBy(*[F.col(exprs.quote(k)).alias(f"_key.{n}.{k}") for k in keys]).agg(value)
+        on = [df[exprs.quote(k)] == summed[exprs.quote(f"_key.{n}.{k}")] for k in keys]
+        return df.join(summed, on, "left"), exprs.quote(f"_value.{n}")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +22,10 @@ from sparkloom.plans.manifest import Manifest, ManifestError, load
 from sparkloom.plans.models import ModelBuilder
 
 
+_fresh = itertools.count()
+_MOST_VIEWS = 200
+
+
 class Engine:
     """Semantic SQL, cube and graph queries as lazy DataFrames.
 
@@ -31,84 +39,117 @@ class Engine:
         self.policy = policy or policies.Policy()
         self.audit = policies.AuditLog()
         self.manifest = Manifest({})
+        #: Views of models already built, by what they were built from; the oldest go first.
+        self._views: OrderedDict[tuple, str] = OrderedDict()
         install(spark)
         if manifest is not None:
             self.load(manifest)
 
     def register(self, name: str, df: DataFrame) -> Engine:
         self.sources[name] = df
+        self.close()
         return self
 
     def load(self, manifest: str | dict | Manifest) -> Engine:
         self.manifest = manifest if isinstance(manifest, Manifest) else load(manifest)
         access.check_rules(self.manifest)
+        self.close()
         return self
 
+    def close(self) -> None:
+        """Drops the engine's views; DataFrames that it returned stay valid."""
+        while self._views:
+            self.spark.catalog.dropTempView(self._views.popitem()[1])
+
     def tables(self) -> list[str]:
         return sorted(self.sources)
 
     def builder(self, properties: dict[str, object] | None = None) -> ModelBuilder:
-        props = properties or {}
-        zone = {k.lower(): v for k, v in props.items()}.get("x-sparkloom-timezone")
-        if zone:
-            self.spark.conf.set("spark.sql.session.timeZone", str(zone))
-        return ModelBuilder(self.spark, self.manifest, self.sources, props)
+        return ModelBuilder(self.spark, self.manifest, self.sources, properties or {})
+
+    @contextmanager
+    def _zone(self, properties: dict[str, object] | None) -> Iterator[None]:
+        """The time zone of a query while it is analysed, which is when Spark writes it into the plan."""
+        zone = {k.lower(): v for k, v in (properties or {}).items()}.get("x-sparkloom-timezone")
+        if not zone:
+            yield
+            return
+        before = self.spark.conf.get("spark.sql.session.timeZone")
+        self.spark.conf.set("spark.sql.session.timeZone", str(zone))
+        try:
+            yield
+        finally:
+            self.spark.conf.set("spark.sql.session.timeZone", before)
 
     def model(self, name: str, columns: list[str] | None = None, properties: dict[str, object] | None = None) -> DataFrame:
-        return self.builder(properties).build(name, columns)
+        with self._zone(properties):
+            return self.builder(properties).build(name, columns)
+
+    def _view(self, name: str, need: list[str], latest: str | None, properties: dict[str, object] | None) -> str:
+        """A view of a model under a name of the engine's own, kept for later statements with the
+        same columns, properties and time zone."""
+        key = (name, tuple(sorted(need)), latest, repr(sorted((properties or {}).items())), self.spark.conf.get("spark.sql.session.timeZone"))
+        if (found := self._views.get(key)) is not None:
+            self._views.move_to_end(key)
+            return found
+        builder = self.builder(properties)
+        df = self._latest(builder, name, need, latest) if latest else builder.build(name, need)
+        view = f"sparkloom_model_{next(_fresh)}"
+        df.createOrReplaceTempView(view)
+        # The plan of a catalog table can change; such a view serves one statement.
+        self._views[key if builder.settled else (view,)] = view
+        while len(self._views) > _MOST_VIEWS:
+            self.spark.catalog.dropTempView(self._views.popitem(last=False)[1])
+        return view
 
     def query(self, sql: str, limit: int | None = None, properties: dict[str, object] | None = None) -> DataFrame:
-        """Runs SQL over models and views; at most ``limit`` rows if given."""
+        """Runs SQL over models and views; at most ``limit`` rows if given.
+
+        Models and views that the statement names are CTEs in front of it, so the session's own
+        views of these names are neither read nor touched.
+        """
         builder = self.builder(properties)
-        sql = self._local(translate(sql))
+        sql = self._local(translate(sql)).strip().rstrip(";")
         rules, latest = self.manifest.graph.get("partitions") or {}, set()
         if self.policy.partitions:
             latest = partitions.check(sql, rules)
         sql = partitions.latest_terms(sql, rules)
-        policies.check(self.spark, sql, self.policy, {*self.manifest.models, *self.manifest.views})
+        policies.check(self.spark, sql, self.policy, {*self.manifest.models, *self.manifest.views, "information_schema_tables", "information_schema_columns"})
         self.audit.record({"event": "query", "sql": sql})
         text, views = [sql], dict(self.manifest.views)
         while hit := [k for k in views if any(k.lower() in exprs.names(t) for t in text)]:
             text += [views.pop(k) for k in hit]
         used = set().union(*(exprs.names(t) for t in text))
         every = any(self._star(t) for t in text)
-        made: list[str] = []
-        built: dict[str, DataFrame] = {}
-        try:
-            for name in self.manifest.models:
-                if name.lower() not in used:
-                    continue
-                model = self.manifest.model(name)
-                seen = builder.visible(model)
-                need = seen if every else [c for c in seen if c.lower() in used]
-                # With no column named, as in count(*), one plain column carries the rows.
-                plain = [c for c in seen if not model.column(c).calculated]
-                need = need or plain[:1] or seen
-                if name.lower() in latest:
-                    built[name] = self._latest(builder, name, need, rules[name]["column"])
-                else:
-                    built[name] = builder.build(name, need)
-            for name, df in built.items():
-                df.createOrReplaceTempView(exprs.quote(name))
-                made.append(name)
-            for name in ("tables", "columns"):
-                if f"information_schema_{name}" in used:
-                    self._catalog_rows(name, builder).createOrReplaceTempView(f"information_schema_{name}")
-                    made.append(f"information_schema_{name}")
-            left = {k: v for k, v in self.manifest.views.items() if k.lower() in used}
-            while left:
-                # Views over views: those whose own views exist come first.
-                ready = [k for k, v in left.items() if not ({x.lower() for x in left} - {k.lower()}) & exprs.names(v)] or list(left)
-                for k in ready:
-                    self.spark.sql(left.pop(k)).createOrReplaceTempView(exprs.quote(k))
-                    made.append(k)
-            out = self.spark.sql(sql.strip().rstrip(";"))
-        except Exception as e:
-            self._explain_denial(builder, used, e)
-            raise
-        finally:
-            for name in made:
-                self.spark.catalog.dropTempView(name)
+        with self._zone(properties):
+            try:
+                heads: list[tuple[str, str]] = []
+                for name in self.manifest.models:
+                    if name.lower() not in used:
+                        continue
+                    model = self.manifest.model(name)
+                    seen = builder.visible(model)
+                    need = seen if every else [c for c in seen if c.lower() in used]
+                    # With no column named, as in count(*), one plain column carries the rows.
+                    plain = [c for c in seen if not model.column(c).calculated]
+                    need = need or plain[:1] or seen
+                    view = self._view(name, need, rules[name]["column"] if name.lower() in latest else None, properties)
+                    heads.append((name, f"SELECT * FROM {view}"))
+                for what in ("tables", "columns"):
+                    if f"information_schema_{what}" in used:
+                        view = f"sparkloom_schema_{next(_fresh)}"
+                        self._catalog_rows(what, builder).createOrReplaceTempView(view)
+                        self._views[(view,)] = view
+                        heads.append((f"information_schema_{what}", f"SELECT * FROM {view}"))
+                left = {k: v for k, v in self.manifest.views.items() if k.lower() in used}
+                while left:
+                    # Views over views: those whose own views exist come first.
+                    ready = [k for k, v in left.items() if not ({x.lower() for x in left} - {k.lower()}) & exprs.names(v)] or list(left)
+                    heads += [(k, left.pop(k).strip().rstrip(";")) for k in ready]
+                out = self.spark.sql(exprs.with_ctes(heads, sql))
+            except Exception as e:
+                self._explain_denial(builder, used, e)
+                raise
         return out if limit is None else out.limit(limit)
 
     @staticmethod
@@ -197,11 +238,13 @@ class Engine:
             builder = self.builder(properties)
             model = self.manifest.model(cube.base)
             names = [c for c in builder.visible(model) if c.lower() in used]
-            base = builder.build(cube.base, names or builder.visible(model)[:1])
-        return cubes.run_cube(base, cube, q)
+            base = self.model(cube.base, names or builder.visible(model)[:1], properties)
+        with self._zone(properties):
+            return cubes.run_cube(base, cube, q)
 
     def graph_query(self, request: dict[str, Any], properties: dict[str, object] | None = None) -> DataFrame:
-        return graphs.GraphPlanner(self.manifest, self.builder(properties)).run(request)
+        with self._zone(properties):
+            return graphs.GraphPlanner(self.manifest, self.builder(properties)).run(request)
 
     def graph_explain(self, request: dict[str, Any]) -> dict[str, Any]:
         return graphs.GraphPlanner(self.manifest, self.builder()).explain(request)
@@ -209,7 +252,8 @@ class Engine:
     def ask(self, question: str, *, anchor: str | None = None, dates: tuple[str, str] | None = None, properties: dict[str, object] | None = None) -> DataFrame:
         """Answers a question over global metrics and dimensions; unclear ones are errors."""
         planner = graphs.GraphPlanner(self.manifest, self.builder(properties))
-        return planner.run(questions.resolve(planner, question, anchor=anchor, dates=dates).request)
+        with self._zone(properties):
+            return planner.run(questions.resolve(planner, question, anchor=anchor, dates=dates).request)
 
     def ask_cube(self, question: str, properties: dict[str, object] | None = None) -> DataFrame:
         return self.cube_query(questions.resolve_cube(self.manifest, question), properties)
