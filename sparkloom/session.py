@@ -249,6 +249,10 @@ class Engine:
     def graph_explain(self, request: dict[str, Any]) -> dict[str, Any]:
         return graphs.GraphPlanner(self.manifest, self.builder()).explain(request)
 
+    def graph_discover(self, source: str | None = None) -> dict[str, Any]:
+        """Metrics and dimensions that can be asked for, by source model."""
+        return graphs.GraphPlanner(self.manifest, self.builder()).discover(source)
+
     def ask(self, question: str, *, anchor: str | None = None, dates: tuple[str, str] | None = None, properties: dict[str, object] | None = None) -> DataFrame:
         """Answers a question over global metrics and dimensions; unclear ones are errors."""
         planner = graphs.GraphPlanner(self.manifest, self.builder(properties))
