@@ -6,6 +6,8 @@ A call whose name means the same in Spark stays as it is. The others have a temp
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,9 +21,75 @@ _DOT = _SUM.format("zip_with({0}, {1}, (z_p, z_q) -> cast(z_p AS double) * z_q)"
 _NORM = "sqrt(" + _SUM.format("transform({%d}, z_e -> cast(z_e AS double) * z_e)") + ")"
 _L2 = "sqrt(" + _SUM.format("zip_with({0}, {1}, (z_p, z_q) -> (cast(z_p AS double) - z_q) * (cast(z_p AS double) - z_q))") + ")"
 _V = "parse_json({0})"
+#: A range that is empty where its step leads away from the end.
+_STEPS = "if(({0} + {2} > {0} AND {0} <= {1}) OR ({0} + {2} < {0} AND {0} >= {1}), sequence({0}, if(({0} + {2} > {0}) = ({0} <= {1}), {1}, {0}), {2}), array())"
+_UP = "if({0} <= {1}, sequence({0}, greatest({0}, {1})), array())"
+#: The first match alone: what follows the place where it begins, replaced at its start.
+_FIRST = (
+    "CASE WHEN regexp_instr({0}, {1}) = 0 THEN {0} ELSE concat(substr({0}, 1, regexp_instr({0}, {1}) - 1), "
+    "regexp_replace(substr({0}, regexp_instr({0}, {1})), concat('\\\\A(?:', {1}, ')'), {2})) END"
+)
+#: Microseconds of a day-time interval.
+_MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp_ntz'1970-01-01 00:00:00' + {0})"
+_DAY = "86400000000"
+_REST = f"cast({_MICROS} % {_DAY} div 3600000000 AS int), cast({_MICROS} % 3600000000 div 60000000 AS int), cast({_MICROS} % 60000000 AS decimal(18, 6)) / 1000000)"
+_HOURS = f"make_interval(0, 0, 0, cast({_MICROS} div {_DAY} AS int), {_REST}"
+_MONTHS = f"make_interval(0, cast({_MICROS} div {_DAY} div 30 AS int), 0, cast({_MICROS} div {_DAY} % 30 AS int), {_REST}"
+
+
+def _groups(pattern: str) -> int:
+    """Capturing groups of a quoted pattern; 0 if it isn't a literal."""
+    if not (pattern.startswith("'") and pattern.endswith("'")):
+        return 0
+    bare = re.sub(r"\\\\.|\[[^\]]*\]", "", pattern)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
+
+
+def _regexp_match(args: list[str]) -> str:
+    """The groups of the first match, or the whole match if the pattern has none."""
+    text, pattern = args[0], args[1]
+    if len(args) > 2:
+        pattern = f"concat('(?', replace({args[2]}, 'g', ''), ')', {pattern})"
+    n = _groups(args[1])
+    found = ", ".join(f"regexp_extract({text}, {pattern}, {k})" for k in (range(1, n + 1) if n else (0,)))
+    return f"CASE WHEN {text} RLIKE {pattern} THEN array({found}) END"
+
+
+def _regexp_replace(args: list[str]) -> str:
+    """The first match, or with the flag g all of them; ``\\1`` and ``$1`` are groups. Other flags are the pattern's."""
+    text, pattern, new = args[:3]
+    new = f"regexp_replace({new}, '\\\\\\\\([0-9])', '\\\\$$1')"
+    if len(args) > 3:
+        pattern = f"concat(if(replace({args[3]}, 'g', '') = '', '', concat('(?', replace({args[3]}, 'g', ''), ')')), {pattern})"
+    first = _fill(_FIRST, [text, pattern, new])
+    return first if len(args) < 4 else f"CASE WHEN contains({args[3]}, 'g') THEN regexp_replace({text}, {pattern}, {new}) ELSE {first} END"
+
+
+_ARRAYS = re.compile(r"(?i)\s*(?:make_array|array|sequence|filter|transform|split|slice|array_(?!to_string|position\b|length|has|empty|ndims|any_value|first|last|element|max|min|distance)\w+|if\(.*sequence)\s*\(")
+
+
+def _concat(args: list[str]) -> str:
+    """Arrays one after the other if an argument is written as an array; else texts, nulls left out."""
+    if any(_ARRAYS.match(a) for a in args):
+        return f"concat({', '.join(args)})"
+    return f"concat_ws('', {', '.join(args)})"
+
+
+def _date_part(args: list[str]) -> str:
+    """Days of the week count from 0, Sunday."""
+    if args[0].strip().strip("'").lower() in ("dow", "dayofweek"):
+        return f"(dayofweek({args[1]}) - 1)"
+    return f"date_part({', '.join(args)})"
+
 _PATH = "try_variant_get(parse_json({0}), '$', '%s')"
 
-SCALAR: dict[str, str | dict[int, str]] = {
+def _quantiles(args: list[str]) -> str:
+    """The n + 1 bounds of n equal parts; n is a number."""
+    n = int(args[1])
+    return f"approx_percentile({args[0]}, array({', '.join(f'{k / n}D' for k in range(n + 1))}))"
+
+
+SCALAR: dict[str, str | dict[int, str] | Callable[[list[str]], str]] = {
     # conditionals, types
     "arrow_cast": "cast({0} AS {1:type})", "arrow_typeof": "typeof({0})", "get_field": "{0}[{1}]",
     "union_extract": "variant_get(parse_json({0}), concat('$.', {1}), 'string')", "union_tag": f"schema_of_variant({_V})",
@@ -30,11 +98,13 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "sha256": "sha2({0}, 256)", "sha384": "sha2({0}, 384)", "sha512": "sha2({0}, 512)", "farm_fingerprint": "xxhash64({0})",
     # dates and times
     "date_bin": "timestamp_micros(unix_micros(cast({1} AS timestamp)) - pmod(unix_micros(cast({1} AS timestamp)), unix_micros(timestamp'1970-01-01 00:00:00Z' + {0})))",
+    "date_part": _date_part, "datepart": _date_part,
+    "justify_hours": _HOURS, "justify_days": _MONTHS, "justify_interval": _MONTHS,
     "from_unixtime": "timestamp_seconds({0})", "to_char": "date_format({0}, {1})", "to_local_time": "to_timestamp_ntz({0})",
     "to_unixtime": "unix_seconds(cast({0} AS timestamp))", "to_timestamp_seconds": "timestamp_seconds({0})", "to_timestamp_millis": "timestamp_millis({0})",
     "to_timestamp_micros": "timestamp_micros({0})", "to_timestamp_nanos": "timestamp_micros({0} div 1000)",
     "format_date": "date_format({1}, {0:strftime})", "format_timestamp": "date_format({1}, {0:strftime})",
-    "format_datetime": "date_format({1}, {0:strftime})", "format_time": "date_format({1}, {0:strftime})",
+    "format_datetime": "date_format({1}, {0:strftime})", "format_time": "date_format(cast(concat('1970-01-01 ', cast({1} AS string)) AS timestamp_ntz), {0:strftime})",
     "parse_date": "to_date({1}, {0:strftime})", "parse_timestamp": "to_timestamp({1}, {0:strftime})",
     "parse_datetime": "to_timestamp_ntz({1}, {0:strftime})", "parse_time": "to_time({1}, {0:strftime})",
     "current_datetime": "localtimestamp()", "timestamp_trunc": "date_trunc('{1:word}', {0})", "datetime_trunc": "date_trunc('{1:word}', to_timestamp_ntz({0}))",
@@ -42,8 +112,8 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "datetime_diff": "timestampdiff({2:word}, {1}, {0})", "time_diff": "time_diff('{2:word}', {1}, {0})",
     "timestamp_add": "({0} + {1})", "timestamp_sub": "({0} - {1})", "datetime_add": "(to_timestamp_ntz({0}) + {1})",
     "datetime_sub": "(to_timestamp_ntz({0}) - {1})", "time_add": "({0} + {1})", "time_sub": "({0} - {1})",
-    "datetime": "to_timestamp_ntz({0})", "generate_date_array": {2: "sequence({0}, {1}, interval 1 day)", 3: "sequence({0}, {1}, {2})"},
-    "generate_timestamp_array": "sequence({0}, {1}, {2})", "time": {1: "to_time({0})", 3: "make_time({0}, {1}, {2})"},
+    "datetime": "to_timestamp_ntz({0})", "generate_date_array": {2: _UP, 3: _STEPS},
+    "generate_timestamp_array": _STEPS, "time": {1: "to_time({0})", 3: "make_time({0}, {1}, {2})"},
     # text encodings
     "encode": "CASE lower({1}) WHEN 'hex' THEN lower(hex({0})) ELSE base64({0}) END",
     "decode": {2: "CASE lower({1}) WHEN 'hex' THEN unhex({0}) ELSE unbase64({0}) END"},
@@ -59,21 +129,22 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "safe_divide": "try_divide({0}, {1})", "safe_negate": "try_subtract(0, {0})", "parse_numeric": "cast({0} AS decimal(38,9))",
     "parse_bignumeric": "cast({0} AS decimal(38,10))", "bit_count": "bit_count({0})",
     # regular expressions
-    "regexp_match": "CASE WHEN {0} RLIKE {1} THEN array(regexp_extract({0}, {1}, 0)) END", "regexp_contains": "({0} RLIKE {1})",
-    "regexp_replace": {3: "sparkloom_replace_first({0}, {1}, {2})", 4: "CASE WHEN {3} LIKE '%g%' THEN regexp_replace({0}, {1}, {2}) ELSE sparkloom_replace_first({0}, {1}, {2}) END"},
+    "regexp_match": _regexp_match, "regexp_contains": "({0} RLIKE {1})",
+    "regexp_replace": _regexp_replace,
     # text
-    "concat": "concat_ws('', {*})", "ends_with": "endswith({0}, {1})", "starts_with": "startswith({0}, {1})", "strpos": "instr({0}, {1})",
+    "concat": _concat, "ends_with": "endswith({0}, {1})", "starts_with": "startswith({0}, {1})", "strpos": "instr({0}, {1})",
     "substr_index": "substring_index({0}, {1}, {2})", "byte_length": "octet_length({0})", "edit_distance": "levenshtein({0}, {1})",
     "contains_substr": "contains(lower({0}), lower({1}))", "unicode": "ascii({0})", "format": "format_string({*})",
     "code_points_to_bytes": "unhex(array_join(transform({0}, z_e -> lpad(hex(z_e), 2, '0')), ''))",
-    "code_points_to_string": "array_join(transform({0}, z_e -> sparkloom_chr(z_e)), '')", "chr": "sparkloom_chr({0})",
+    "code_points_to_string": "array_join(transform({0}, z_e -> decode(unhex(lpad(hex(z_e), 8, '0')), 'UTF-32')), '')", "chr": "decode(unhex(lpad(hex({0}), 8, '0')), 'UTF-32')",
     "to_code_points": "transform(filter(split({0}, ''), z_c -> z_c <> ''), z_c -> ascii(z_c))",
     "safe_convert_bytes_to_string": "try_validate_utf8(cast({0} AS string))",
     # arrays
     "array_to_string": "array_join({*})", "string_to_array": "split({0}, concat('\\\\Q', {1}, '\\\\E'))",
-    "range": {1: "if({0} > 0, sequence(0, {0} - 1), array())", 2: "if({0} < {1}, sequence({0}, {1} - 1), array())",
-              3: "filter(sequence({0}, {1}, {2}), z_e -> z_e <> {1})"},
-    "gen_series": "sequence({*})", "generate_series": {1: "sequence(0, {0})", 2: "sequence({0}, {1})", 3: "sequence({0}, {1}, {2})"}, "generate_array": "sequence({*})",
+    "range": {1: "if({0} > 0, sequence(0, {0} - 1), array())", 2: "if({0} < {1}, sequence({0}, greatest({0}, {1} - 1)), array())",
+              3: f"filter({_STEPS}, z_e -> z_e <> {{1}})"},
+    "gen_series": {2: _UP, 3: _STEPS}, "generate_series": {1: "if({0} >= 0, sequence(0, greatest(0, {0})), array())", 2: _UP, 3: _STEPS}, "generate_array": {2: _UP, 3: _STEPS},
+    "array_ndims": "nullif(length(regexp_extract(typeof({0}), '^((array<)*)', 1)) div 6, 0)",
     "array_dims": "array(size({0}))", "array_concat": "concat({*})", "array_element": "try_element_at({0}, {1})",
     "array_pop_back": "slice({0}, 1, greatest(size({0}) - 1, 0))", "array_pop_front": "slice({0}, 2, size({0}))",
     "array_slice": "slice({0}, {1}, greatest({2} - {1} + 1, 0))", "array_any_value": "try_element_at(filter({0}, z_e -> z_e IS NOT NULL), 1)",
@@ -90,7 +161,7 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "array_replace_n": "transform({0}, (z_e, z_i) -> if(z_e = {1} AND size(filter(slice({0}, 1, z_i + 1), z_z -> z_z = {1})) <= {3}, {2}, z_e))",
     "array_first": "try_element_at({0}, 1)", "array_last": "try_element_at({0}, -1)", "map_extract": "array(try_element_at({0}, {1}))",
     "offset": "{0}[{1}]", "ordinal": "element_at({0}, {1})", "safe_offset": "get({0}, {1})", "safe_ordinal": "try_element_at({0}, {1})",
-    "generate_range_array": "transform(sequence({0}.start, {0}.end - {1}, {1}), z_e -> struct(z_e AS start, z_e + {1} AS end))",
+    "generate_range_array": "transform(filter(sequence({0}.start, {0}.end, {1}), z_e -> z_e < {0}.end), z_e -> struct(z_e AS start, least(z_e + {1}, {0}.end) AS end))",
     "range_contains": "({1} >= {0}.start AND {1} < {0}.end)", "range_start": "{0}.start", "range_end": "{0}.end",
     "range_intersect": "struct(greatest({0}.start, {1}.start) AS start, least({0}.end, {1}.end) AS end)",
     "range_overlaps": "({0}.start < {1}.end AND {1}.start < {0}.end)",
@@ -120,10 +191,10 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "json_array_insert": "to_json(array_insert(from_json({0}, 'array<string>'), cast(regexp_extract({1}, '([0-9]+)', 1) AS int) + 1, cast({2} AS string)))",
 }
 
-AGGREGATE: dict[str, str] = {
+AGGREGATE: dict[str, str | Callable[[list[str]], str]] = {
     "approx_median": "approx_percentile({0}, 0.5D)", "approx_distinct": "approx_count_distinct({0})",
     "approx_percentile_cont": "approx_percentile({0}, {1})", "approx_percentile_cont_with_weight": "percentile({0}, {2}, {1})",
-    "approx_quantiles": "approx_percentile({0}, transform(sequence(0, {1}), z_i -> z_i / {1}))", "approx_top_count": "approx_top_k({0}, {1})",
+    "approx_quantiles": _quantiles, "approx_top_count": "approx_top_k({0}, {1})",
     "array_concat_agg": "flatten(collect_list({0}))", "countif": "count_if({0})", "logical_and": "bool_and({0})", "logical_or": "bool_or({0})",
     "group_concat": "listagg({*})", "stddev": "stddev_samp({0})",
 }
@@ -181,6 +252,8 @@ def _calls(ts: list[Token]) -> str:
         t = ts[k]
         name = t.parts[-1].lower() if t.call else ""
         template = SCALAR.get(name) or AGGREGATE.get(name) if t.call and len(t.parts) == 1 else None
+        if name == "extract":
+            template = {}
         if t.text[0] in "`\"" or (name == "range" and before == "from"):
             template = None  # A quoted name is Spark's own function; after FROM range is a table.
         if t.kind not in ("space", "comment"):
@@ -209,7 +282,11 @@ def _calls(ts: list[Token]) -> str:
             args.append(last)
         if isinstance(template, dict):
             template = template.get(len(args))
-        if template is None:
+        if name == "extract" and len(args) == 1 and (m := re.match(r"(?is)(?:dow|dayofweek)\s+from\s+(.*)", args[0])):
+            out.append(_date_part(["dow", m[1]]))
+        elif callable(template):
+            out.append(template(args))
+        elif template is None:
             out.append(f"{t.text}({', '.join(args)})")
         else:
             out.append(_fill(template, args))
@@ -259,11 +336,43 @@ def available(spark: SparkSession) -> list[str]:
     return sorted(own | set(SCALAR) | set(AGGREGATE))
 
 
+def _text(template) -> str:
+    return template if isinstance(template, str) else (template.__doc__ or "") if callable(template) else str(template)
+
+
+def define(spark: SparkSession, record: RemoteFunction, body) -> None:
+    """Makes a user function callable in SQL.
+
+    ``body`` is a SQL expression over the parameters, which Catalyst inlines (of kind "table": a query
+    that gives rows), or a pandas function: of series to a series, or for kind "aggregate" of series
+    to a value. Return types that follow the input (``same_as_input``) are inferred for SQL bodies.
+    """
+    from sparkloom.plans.exprs import quote
+
+    if not re.fullmatch(r"[A-Za-z_]\w*", record.name):
+        raise ValueError(f"not a function name: {record.name}")
+    if len(record.param_names) != len(record.param_types) and isinstance(body, str):
+        raise ValueError(f"{record.name}: a SQL function needs a type for each parameter")
+    inferred = record.return_type.startswith(("same_as", "array_of"))
+    if isinstance(body, str):
+        params = ", ".join(f"{quote(n)} {_ARROW.get(t.lower(), t)}" for n, t in zip(record.param_names, record.param_types))
+        kind = f"RETURNS TABLE ({record.return_type})" if record.kind == "table" else "" if inferred else f"RETURNS {record.return_type}"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {record.name}({params}) {kind} RETURN {translate(body)}")
+        return
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import PandasUDFType
+
+    if inferred or record.kind not in ("scalar", "aggregate"):
+        raise ValueError(f"{record.name}: a Python body needs a fixed return type, and is scalar or aggregate")
+    how = PandasUDFType.GROUPED_AGG if record.kind == "aggregate" else PandasUDFType.SCALAR
+    spark.udf.register(record.name, F.pandas_udf(body, record.return_type, how))
+
+
 def describe(spark: SparkSession, name: str) -> list[RemoteFunction]:
     """Records of a callable name: the dialect's template, else Spark's own; none if it is unknown."""
     low = name.lower()
     if low in SCALAR or low in AGGREGATE:
-        return [RemoteFunction(low, "aggregate" if low in AGGREGATE else "scalar", "", description=str(SCALAR.get(low) or AGGREGATE[low]))]
+        return [RemoteFunction(low, "aggregate" if low in AGGREGATE else "scalar", "", description=_text(SCALAR.get(low) or AGGREGATE[low]))]
     if not spark.catalog.functionExists(low):
         return []
     text = "\n".join(r[0] for r in spark.sql(f"DESCRIBE FUNCTION EXTENDED `{low.replace('`', '``')}`").collect())
@@ -272,7 +381,9 @@ def describe(spark: SparkSession, name: str) -> list[RemoteFunction]:
 
 
 def install(spark: SparkSession) -> None:
-    """Registers what Spark lacks, as Arrow-batched pandas functions or SQL expressions."""
+    """Registers what Spark lacks, as Arrow-batched pandas functions; once a session."""
+    if spark.catalog.functionExists("sparkloom_casefold"):
+        return
     import base64
     import math
     import unicodedata
@@ -297,18 +408,9 @@ def install(spark: SparkSession) -> None:
 
         return F.pandas_udf(run, kind)
 
-    import re
-
-    java = lambda r: re.sub(r"\$(\d)", r"\\\1", r)
-
-    def first(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None or z is None else re.sub(y, java(z), x, count=1) for x, y, z in zip(a, b, c)], dtype=object)
-
     spark.udf.register("sparkloom_gcd", F.pandas_udf(gcd, "bigint"))
     spark.udf.register("sparkloom_lcm", F.pandas_udf(lcm, "bigint"))
     spark.udf.register("sparkloom_from_base32", one(lambda x: base64.b32decode(x), "binary"))
     spark.udf.register("sparkloom_to_base32", one(lambda x: base64.b32encode(x if isinstance(x, bytes) else str(x).encode()).decode(), "string"))
     spark.udf.register("sparkloom_normalize", two(lambda x, f: unicodedata.normalize(f, x), "string"))
     spark.udf.register("sparkloom_casefold", two(lambda x, f: unicodedata.normalize(f, x.casefold()), "string"))
-    spark.udf.register("sparkloom_chr", one(lambda x: chr(int(x)), "string"))
-    spark.udf.register("sparkloom_replace_first", F.pandas_udf(first, "string"))

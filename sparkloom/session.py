@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import itertools
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.registry import install, translate
+from sparkloom.functions.registry import RemoteFunction, define, install, translate
 from sparkloom.operators import cube as cubes
 from sparkloom.operators import graph as graphs
 from sparkloom.operators import graph_inspect, partitions, questions
@@ -61,6 +61,11 @@ class Engine:
         while self._views:
             self.spark.catalog.dropTempView(self._views.popitem()[1])
 
+    def define_function(self, record: RemoteFunction, body: str | Callable) -> Engine:
+        """Makes a user function callable: a SQL expression over its parameters, or a pandas function."""
+        define(self.spark, record, body)
+        return self
+
     def tables(self) -> list[str]:
         return sorted(self.sources)
 
