@@ -132,6 +132,12 @@ class Relationship:
         return a, b
 
 
+def _extras(raw: dict) -> tuple[int, tuple[str, ...]]:
+    """A cube's priority (0 unless a whole number) and its other names."""
+    p, more = raw.get("priority", 0), raw.get("synonyms") or ()
+    return (p if isinstance(p, int) and not isinstance(p, bool) else 0), tuple(more.split(",") if isinstance(more, str) else more)
+
+
 @dataclass(frozen=True)
 class Cube:
     name: str
@@ -140,6 +146,8 @@ class Cube:
     dimensions: dict[str, str]
     time_dimensions: dict[str, str]
     hierarchies: dict[str, list[str]] = field(default_factory=dict)
+    priority: int = 0
+    synonyms: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -252,7 +260,7 @@ def load(source: str | dict) -> Manifest:
     cubes = {}
     for raw in source.get("cubes", []):
         named = lambda k: {x["name"]: _own(x["expression"]) for x in raw.get(k, [])}  # noqa: E731, B023
-        cubes[raw["name"]] = Cube(raw["name"], raw["baseObject"], named("measures"), named("dimensions"), named("timeDimensions"), dict(raw.get("hierarchies") or {}))
+        cubes[raw["name"]] = Cube(raw["name"], raw["baseObject"], named("measures"), named("dimensions"), named("timeDimensions"), dict(raw.get("hierarchies") or {}), *_extras(raw))
     made = Manifest(
         models, rels, {v["name"]: _own(v["statement"]) for v in source.get("views", [])}, cubes,
         {m["name"]: _member(m) for m in source.get("metrics", [])}, {d["name"]: _member(d) for d in source.get("dimensions", [])}, source.get("graph") or {},

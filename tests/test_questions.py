@@ -23,11 +23,49 @@ def planner(eng):
 
 
 def test_scores_order_evidence():
+    """Whole terms over parts, larger parts over smaller ones, labels over synonyms over names, more of the question over less."""
     m = {"name": "net_revenue", "label": "Net Revenue", "synonyms": "turnover, sales"}
-    exact, inside, part, none = (questions.score(q, m) for q in ("net revenue", "show net revenue of shops", "reven", "weather"))
+    exact, inside, part, none = (questions.score(q, m) for q in ("net revenue", "show net revenue of shops", "revenues", "weather"))
     assert exact > inside > part > none == 0
+    assert exact == 2 * questions.WEIGHTS["label"] + round(min(10, 2 * questions.WEIGHTS["name"] / 20))
     assert questions.score("turnover by shop", m) >= questions.LEAST
-    assert questions.rank("order revenue", [{"name": "order_revenue"}, {"name": "weather"}])[0][0] == "order_revenue"
+    one = lambda **x: questions.score("gross margin of stores", {"name": "zz", **x})
+    assert one(label="gross margin") > one(synonyms=["gross margin"]) > one(name="gross_margin") >= questions.LEAST > one(name="gross_of_tax_total")
+    assert one(label="margin of the last day", description="gross stores") > one(label="margin of the last day")
+    assert one(description="gross margin of stores") == 0
+
+
+def test_words():
+    assert questions.words_of("Net-Revenue_2 (Q1)") == ["net", "revenue", "2", "q1"] and questions.words_of("订单金额 x") == ["订单", "单金", "金额", "x"]
+    assert questions.same_word("orders", "order") and questions.same_word("monthly", "months") is False and not questions.same_word("for", "fort")
+    assert questions.score("订单金额是多少", {"name": "amount", "label": "订单金额"}) >= questions.LEAST
+
+
+def test_rank_explains_each_word_once():
+    names = lambda q, *ms: [n for n, _ in questions.rank(q, [{"name": n} for n in ms])]
+    assert names("order revenue", "order_revenue", "order_n", "revenue", "weather") == ["order_revenue"]
+    assert names("order revenue and stock", "order_revenue", "stock", "revenue") == ["order_revenue", "stock"]
+    twins = [{"name": "a_b", "label": "margin"}, {"name": "c_d", "label": "margin"}]
+    assert [n for n, _ in questions.rank("margin", twins)] == ["a_b", "c_d"]
+
+
+def test_phrases_and_dates():
+    assert questions.grain_phrases("revenue by nation name, region and brand for 2024") == ("revenue", ["nation name", "region", "brand"])
+    assert questions.grain_phrases("n per kind 2024-01-05 to 20240110") == ("n", ["kind"])
+    assert questions.grain_phrases("revenue") is None and questions.relative_days("the past 12 days?") == 12
+    assert questions.explicit_dates("from 2024-01-05 to (20240110)") == ("20240105", "20240110") and questions.explicit_dates("item 12345") is None
+
+
+def test_cube_priority_and_hierarchies():
+    cube = lambda n, **x: {"name": n, "baseObject": "t", "measures": [{"name": "sales", "expression": "sum(v)"}], "dimensions": [{"name": "shop", "expression": "s"}, {"name": "town", "expression": "s"}], **x}
+    model = {"name": "t", "tableReference": {"table": "t"}, "columns": [{"name": "v", "type": "int"}, {"name": "s", "type": "varchar"}]}
+    load = lambda *c: manifest.load({"models": [model], "cubes": list(c)})
+    with pytest.raises(GraphError, match="AMBIGUOUS"):
+        questions.resolve_cube(load(cube("one"), cube("two")), "sales by shop")
+    assert questions.resolve_cube(load(cube("one"), cube("two", priority=2)), "sales by shop")["cube"] == "two"
+    assert questions.resolve_cube(load(cube("one"), cube("two")), "two sales")["cube"] == "two"
+    got = questions.resolve_cube(load(cube("one", hierarchies={"place": ["town", "shop"]})), "sales by place")
+    assert got["dimensions"] == ["town", "shop"]
 
 
 def test_resolves_to_a_request(planner):
