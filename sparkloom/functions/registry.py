@@ -47,7 +47,7 @@ def _groups(pattern: str) -> int:
 
 def _regexp_match(args: list[str]) -> str:
     """The groups of the first match, or the whole match if the pattern has none."""
-    text, pattern = args[0], args[1]
+    text, pattern = _operand(args[0]), _operand(args[1])
     if len(args) > 2:
         pattern = f"concat('(?', replace({args[2]}, 'g', ''), ')', {pattern})"
     n = _groups(args[1])
@@ -57,7 +57,7 @@ def _regexp_match(args: list[str]) -> str:
 
 def _regexp_replace(args: list[str]) -> str:
     """The first match, or with the flag g all of them; ``\\1`` and ``$1`` are groups. Other flags are the pattern's."""
-    text, pattern, new = args[:3]
+    text, pattern, new = map(_operand, args[:3])
     new = f"regexp_replace({new}, '\\\\\\\\([0-9])', '\\\\$$1')"
     if len(args) > 3:
         pattern = f"concat(if(replace({args[3]}, 'g', '') = '', '', concat('(?', replace({args[3]}, 'g', ''), ')')), {pattern})"
@@ -129,6 +129,8 @@ SCALAR: dict[str, str | dict[int, str] | Callable[[list[str]], str]] = {
     "safe_divide": "try_divide({0}, {1})", "safe_negate": "try_subtract(0, {0})", "parse_numeric": "cast({0} AS decimal(38,9))",
     "parse_bignumeric": "cast({0} AS decimal(38,10))", "bit_count": "bit_count({0})",
     # regular expressions
+    "regexp_like": {2: "({0} RLIKE {1})", 3: "({0} RLIKE concat('(?', {2}, ')', {1}))"},
+    "regexp_count": {2: "regexp_count({0}, {1})", 3: "regexp_count(substr({0}, {2}), {1})", 4: "regexp_count(substr({0}, {2}), concat('(?', {3}, ')', {1}))"},
     "regexp_match": _regexp_match, "regexp_contains": "({0} RLIKE {1})",
     "regexp_replace": _regexp_replace,
     # text
@@ -222,16 +224,30 @@ def _strftime(text: str) -> str:
     return "'" + "".join(out) + "'"
 
 
+def _operand(arg: str) -> str:
+    """An argument as an operand: in parentheses unless it is one token or one call."""
+    ts = [t for t in tokens(arg) if t.kind not in ("space", "comment")]
+    if len(ts) < 2 or ts[0].text.lower() in ("distinct", "all"):
+        return arg
+    depth = 0
+    for k, t in enumerate(ts):
+        depth += (t.text == "(") - (t.text == ")")
+        if depth == 0 and k and k < len(ts) - 1:
+            return f"({arg})"
+    return arg if ts[0].call or ts[0].text == "(" else f"({arg})"
+
+
 def _fill(template: str, args: list[str]) -> str:
-    out, k = [], 0
+    args, listed, k = [_operand(a.strip()) for a in args], args, 0
+    out: list[str] = []
     while k < len(template):
         if template[k] == "{":
             end = template.index("}", k)
             what, _, how = template[k + 1 : end].partition(":")
             if what == "*":
-                out.append(", ".join(args))
+                out.append(", ".join(listed))
             else:
-                a = args[int(what)].strip()
+                a = args[int(what)] if not how else listed[int(what)].strip()
                 if how == "strftime":
                     a = _strftime(a)
                 elif how == "word":

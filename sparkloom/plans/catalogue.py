@@ -41,6 +41,7 @@ def manifest() -> dict:
         by("supplier_nation", "MANY_TO_ONE", "supplier", "nation") | {"condition": "supplier.s_nationkey = nation.n_nationkey"},
         by("orders_customer", "MANY_TO_ONE", "orders", "customer") | {"condition": "(orders.o_custkey = customer.c_custkey)"},
         by("closed_customer", "MANY_TO_ONE", "closed_orders", "customer") | {"condition": "closed_orders.o_custkey = customer.c_custkey"},
+        by("seen_customer", "MANY_TO_ONE", "seen_orders", "customer") | {"condition": "seen_orders.o_custkey = customer.c_custkey"},
         by("lineitem_orders", "MANY_TO_ONE", "lineitem", "orders") | {"condition": "lineitem.l_orderkey = orders.o_orderkey"},
         by("lineitem_part", "MANY_TO_ONE", "lineitem", "part") | {"condition": "lineitem.l_partkey = part.p_partkey"},
         by("lineitem_supplier", "MANY_TO_ONE", "lineitem", "supplier") | {"condition": "lineitem.l_suppkey = supplier.s_suppkey"},
@@ -56,7 +57,10 @@ def manifest() -> dict:
             "nation|nation|->customer_nation", "orders|orders|->orders_customer", "closed|closed_orders|->closed_customer",
             "nation_name|varchar|=nation.n_name", "region_name|varchar|=nation.region.r_name", "place|varchar|=concat(nation_name, ', ', region_name)",
             "total_spend|double|=sum(orders.o_totalprice)", "order_count|bigint|=count(orders.o_orderkey)",
-            "closed_spend|double|=sum(closed.o_totalprice)", "closed_count|bigint|=count(closed.o_orderkey)", "line_total|double|=sum(orders.lines.l_quantity)")},
+            "closed_spend|double|=sum(closed.o_totalprice)", "closed_count|bigint|=count(closed.o_orderkey)", "line_total|double|=sum(orders.lines.l_quantity)",
+            "largest_order|double|=max(orders.o_totalprice)", "spread|double|=sum(orders.o_totalprice) - coalesce(sum(closed.o_totalprice), 0)",
+            "spend_per_line|double|=sum(orders.o_totalprice) / nullif(count(orders.lines.l_linenumber), 0)", "large_orders|bigint|=count(orders.o_orderkey) FILTER (WHERE orders.o_totalprice > 200000)",
+            "weighted_spend|double|=sum(orders.o_totalprice * c_nationkey)", "seen|seen_orders|->seen_customer", "visible_spend|double|=sum(seen.o_totalprice)", "visible_count|bigint|=count(seen.o_orderkey)")},
         {"name": "supplier", "tableReference": {"table": "supplier"}, "primaryKey": "s_suppkey", "columns": _cols("s_suppkey|bigint", "s_name|varchar", "s_nationkey|int", "s_acctbal|double", "nation|nation|->supplier_nation", "s_nation|varchar|=nation.n_name")},
         {"name": "part", "tableReference": {"table": "part"}, "primaryKey": "p_partkey", "columns": _cols("p_partkey|bigint", "p_name|varchar", "p_brand|varchar", "p_type|varchar", "p_size|int", "p_retailprice|double")},
         {"name": "orders", "tableReference": {"table": "orders"}, "primaryKey": "o_orderkey", "columns": _cols(
@@ -65,6 +69,8 @@ def manifest() -> dict:
             "customer_name|varchar|=customer.c_name", "customer_region|varchar|=customer.nation.region.r_name", "line_count|bigint|=count(lines.l_linenumber)",
             "price_per_line|double|=o_totalprice / line_count")},
         {"name": "closed_orders", "refSql": "SELECT * FROM orders WHERE o_orderstatus = 'F'", "primaryKey": "o_orderkey", "columns": _cols("o_orderkey|bigint", "o_custkey|bigint", "o_totalprice|double", "customer|customer|->closed_customer")},
+        {"name": "seen_orders", "tableReference": {"table": "orders"}, "primaryKey": "o_orderkey", "columns": _cols("o_orderkey|bigint", "o_custkey|bigint", "o_orderstatus|varchar", "o_totalprice|double"),
+         "rowLevelAccessControls": [{"name": "one_status", "requiredProperties": [{"name": "status", "required": False, "defaultExpr": "'O'"}], "condition": "o_orderstatus = @status"}]},
         {"name": "lineitem", "tableReference": {"table": "lineitem"}, "columns": _cols(
             "l_orderkey|bigint", "l_partkey|bigint", "l_suppkey|bigint", "l_linenumber|int", "l_quantity|double", "l_extendedprice|double", "l_discount|double",
             "l_tax|double", "l_returnflag|varchar", "l_linestatus|varchar", "l_shipdate|timestamp", "orders|orders|->lineitem_orders", "part|part|->lineitem_part",
@@ -100,13 +106,14 @@ def manifest() -> dict:
             {"name": "largest", "model": "orders", "expression": "max(o_totalprice)"}, {"name": "supplier_balance", "model": "supplier", "expression": "sum(s_acctbal)"},
             {"name": "customer_balance", "model": "customer", "expression": "sum(c_acctbal)"}, {"name": "average_price", "model": "orders", "expression": "avg(o_totalprice)"},
             {"name": "event_worth", "model": "events", "expression": "sum(value)"}, {"name": "event_n", "model": "events", "expression": "count(*)"},
+            {"name": "dated_n", "model": "orders", "expression": "count(o_orderkey)"},
         ],
         "dimensions": [
             {"name": "nation_name", "model": "nation", "expression": "n_name"}, {"name": "region_name", "model": "region", "expression": "r_name"},
             {"name": "return_flag", "model": "lineitem", "expression": "l_returnflag"}, {"name": "brand", "model": "part", "expression": "p_brand"},
-            {"name": "event_kind", "model": "events", "expression": "event_type"},
+            {"name": "event_kind", "model": "events", "expression": "event_type"}, {"name": "buyer", "model": "customer", "expression": "c_custkey"},
         ],
-        "graph": {"maxHops": 4, "partitions": {"events": {"mode": "incremental", "column": "ds"}}, "metricPolicies": {"average_price": {"blockedDimensions": ["return_flag"]}}},
+        "graph": {"maxHops": 4, "partitions": {"events": {"mode": "incremental", "column": "ds"}}, "metricPolicies": {"average_price": {"blockedDimensions": ["return_flag"]}, "dated_n": {"blockedDimensions": ["time"]}}},
     }
 
 
@@ -208,7 +215,7 @@ def _host_queries() -> dict[str, Pair]:
         "tpch_q4": _sem("SELECT o_orderstatus, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderstatus"),
         "tpch_q5": _sem(f"SELECT n_name, round(sum({rev}), 4) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name"),
         "tpch_q6": _sem("SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"),
-        "tpch_q7": _sem(f"SELECT n1.n_name AS seller, n2.n_name AS buyer, CAST(extract(year FROM l_shipdate) AS INT) AS y, round(sum({rev}), 4) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_nationkey <> n2.n_nationkey AND n1.n_nationkey < 5 GROUP BY 1, 2, 3"),
+        "tpch_q7": _sem(f"SELECT n1.n_name AS seller, n2.n_name AS buyer, CAST(extract(year FROM l_shipdate) AS INT) AS y, round(sum({rev}), 4) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_name <> n2.n_name GROUP BY 1, 2, 3"),
         "tpch_q10": _sem(f"SELECT c_custkey, c_name, round(sum({rev}), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 20"),
         "tpch_q12": _sem("SELECT l_linestatus, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_linestatus", "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_linestatus"),
         "tpch_q13": _sem("SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus LIKE 'F%' GROUP BY c_custkey) c GROUP BY c_count"),
@@ -235,7 +242,7 @@ def _host_queries() -> dict[str, Pair]:
         "filter_clause": _sem("SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 0) AS pos, count(*) AS n FROM customer GROUP BY c_nationkey"),
         "windows_ranking": _sem("SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt, lag(c_custkey) OVER w AS lg, lead(c_custkey) OVER w AS ld, first_value(c_custkey) OVER w AS fv, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)"),
         "windows_frames": _sem("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS c, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lv, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nv FROM orders"),
-        "set_operations": _sem("(SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000"),
+        "set_operations": _sem("(SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT r_regionkey FROM region) EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000"),
         "union_distinct_intersect": _sem("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 20"),
         "recursive_cte": _sem("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t"),
         "nested_cte": _sem("WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey), b AS (SELECT k, n FROM a WHERE n > 40) SELECT b.k, b.n, n_name FROM b JOIN nation ON k = n_nationkey"),
@@ -285,11 +292,6 @@ def _nearest(spark: SparkSession, d: str) -> DataFrame:
     return recall.vector_recall(rows, q, k=10).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-def _token_recall(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/part.parquet")
-    return recall.token_recall(rows, "PROMO BRUSHED", text="p_type", k=5).select("p_type", "score")
-
-
 def _tumbling(spark: SparkSession, d: str) -> DataFrame:
     ev = spark.read.parquet(f"{d}/events.parquet")
     out = windows.tumbling(ev, "ts", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("v")])
@@ -324,13 +326,15 @@ def _top_weight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all() -> dict[str, Pair]:
+    from sparkloom.plans import catalogue_more
+
     return {
+        **catalogue_more.every(),
         **_model_queries(), **_cube_queries(), **_graph_queries(), **_host_queries(), **_dialect_queries(), **_function_queries(),
         "vector_recall": (_nearest, "SELECT b.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 1 ORDER BY 2, 1 LIMIT 10"),
         "graph_question": (_graph_question, "SELECT r_name AS region_name, round(sum(o_totalprice), 2) AS order_revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
         "cube_question": (_cube_question, "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1"),
         "graph_inspect": (_inspect, "SELECT source, relation FROM (VALUES ('customer', 'customer_nation'), ('supplier', 'supplier_nation')) v(source, relation)"),
-        "token_recall": (_token_recall, None),
         "stream_tumbling_batch": (_tumbling, "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1, 2"),
         "stream_session_batch": (_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 hour THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM k GROUP BY 1, 2) SELECT n, count(*) AS sessions FROM c GROUP BY n"),
         "top_per_group": (_top_weight, "SELECT o_orderstatus, o_orderkey, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3"),

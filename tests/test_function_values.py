@@ -55,6 +55,7 @@ VALUES = {
     "safe_add": ("safe_add(9223372036854775807, 1)", None), "safe_subtract": ("safe_subtract(5, 7)", -2), "safe_multiply": ("safe_multiply(9223372036854775807, 2)", None), "safe_divide": ("safe_divide(1, 0)", None),
     "safe_negate": ("safe_negate(5)", -5), "parse_numeric": ("parse_numeric('1.5')", decimal.Decimal("1.5")), "parse_bignumeric": ("parse_bignumeric('1.5')", decimal.Decimal("1.5")), "bit_count": ("bit_count(7)", 3),
     # regular expressions and text
+    "regexp_like": ("regexp_like('FOO', 'o+', 'i')", True), "regexp_count": ("regexp_count('xaAa', 'a', 2, 'i')", 3),
     "regexp_match": ("regexp_match('foobar', '(o+)(b)')", ["oo", "b"]), "regexp_contains": ("regexp_contains('foobar', 'o{2}')", True), "regexp_replace": ("regexp_replace('1abc', '\\\\p{L}', 'X')", "1Xbc"),
     "concat": ("concat('a', NULL, 'b', 1)", "ab1"), "ends_with": ("ends_with('abc', 'bc')", True), "starts_with": ("starts_with('abc', 'bc')", False), "strpos": ("strpos('abc', 'c')", 3),
     "substr_index": ("substr_index('a.b.c', '.', 2)", "a.b"), "byte_length": ("byte_length('é')", 2), "edit_distance": ("edit_distance('kitten', 'sitting')", 3), "contains_substr": ("contains_substr('FooBar', 'oba')", True),
@@ -151,6 +152,13 @@ def test_variants(eng):
     assert ask("log(1000)") == pytest.approx(3) and ask("trunc(2.789, 1)") == decimal.Decimal("2.7") and ask("to_time('01:02:03') = time('01:02:03')") is True
 
 
+def test_arguments_are_operands(eng):
+    """An argument with operators keeps its meaning inside a template."""
+    ask = lambda c: eng.query(f"SELECT {c} AS v FROM value_rows WHERE x = 9").first()["v"]
+    assert ask("array_to_string(array_slice(range(20), x - 7, x - 5), ',')") == "1,2,3" and ask("coth(x - 8)") == pytest.approx(1 / math.tanh(1))
+    assert ask("div(x + 1, 1 + 1)") == 5 and ask("iszero(x - 9)") is True and ask("regexp_match('a' || x, '[a-z]' || '9')") == ["a9"] and ask("range_contains(struct(1 AS start, x AS end), x - 1)") is True
+
+
 def test_user_functions(eng):
     import pandas as pd
 
