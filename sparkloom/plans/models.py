@@ -23,8 +23,14 @@ class ModelBuilder:
     filter what a model yields, also where it is the target of a relationship.
     """
 
-    def __init__(self, spark: SparkSession, manifest: Manifest, sources: dict[str, DataFrame], props: dict[str, object] | None = None):
+    def __init__(
+        self, spark: SparkSession, manifest: Manifest, sources: dict[str, DataFrame], props: dict[str, object] | None = None,
+        built: dict[tuple, DataFrame] | None = None,
+    ):
         self.spark, self.manifest, self.sources, self.props = spark, manifest, sources, props or {}
+        #: Models built with these properties before, by name and columns.
+        self.built = {} if built is None else built
+        self._visible: dict[str, list[str]] = {}
         #: Whether everything built so far comes from registered sources, whose plans stay valid.
         self.settled = True
 
@@ -79,7 +85,9 @@ class ModelBuilder:
         return None
 
     def visible(self, model: Model) -> list[str]:
-        return [c.name for c in model.visible() if self.denied(model, c.name) is None]
+        if model.name not in self._visible:
+            self._visible[model.name] = [c.name for c in model.visible() if self.denied(model, c.name) is None]
+        return self._visible[model.name]
 
     # -- construction ----------------------------------------------------------------------------
 
@@ -105,6 +113,17 @@ class ModelBuilder:
         model = self.manifest.model(name)
         if needed is None:
             needed = self.visible(model)
+        key = (model.name, tuple(needed), stack)
+        if key not in self.built:
+            # What reads a catalog table is planned anew each time.
+            settled, self.settled = self.settled, True
+            df = self._build(model, needed, stack)
+            if not self.settled:
+                return df
+            self.settled, self.built[key] = settled, df
+        return self.built[key]
+
+    def _build(self, model: Model, needed: list[str], stack: tuple[str, ...]) -> DataFrame:
         want = []
         for n in needed:
             col = model.column(n)

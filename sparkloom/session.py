@@ -41,6 +41,8 @@ class Engine:
         self.manifest = Manifest({})
         #: Views of models already built, by what they were built from; the oldest go first.
         self._views: OrderedDict[tuple, str] = OrderedDict()
+        #: DataFrames of models built, by properties and time zone.
+        self._built: OrderedDict[tuple, dict] = OrderedDict()
         install(spark)
         if manifest is not None:
             self.load(manifest)
@@ -58,6 +60,7 @@ class Engine:
 
     def close(self) -> None:
         """Drops the engine's views; DataFrames that it returned stay valid."""
+        self._built.clear()
         while self._views:
             self.spark.catalog.dropTempView(self._views.popitem()[1])
 
@@ -69,8 +72,16 @@ class Engine:
     def tables(self) -> list[str]:
         return sorted(self.sources)
 
+    def _state(self, properties: dict[str, object] | None) -> tuple[str, str]:
+        """What a model's plan depends on besides the manifest and the sources."""
+        return repr(sorted((properties or {}).items())), self.spark.conf.get("spark.sql.session.timeZone")
+
     def builder(self, properties: dict[str, object] | None = None) -> ModelBuilder:
-        return ModelBuilder(self.spark, self.manifest, self.sources, properties or {})
+        """A builder in the session's present time zone."""
+        built = self._built.setdefault(self._state(properties), {})
+        while len(self._built) > _MOST_VIEWS or sum(map(len, self._built.values())) > 5 * _MOST_VIEWS:
+            self._built.popitem(last=False)
+        return ModelBuilder(self.spark, self.manifest, self.sources, properties or {}, built)
 
     @contextmanager
     def _zone(self, properties: dict[str, object] | None) -> Iterator[None]:
@@ -90,14 +101,14 @@ class Engine:
         with self._zone(properties):
             return self.builder(properties).build(name, columns)
 
-    def _view(self, name: str, need: list[str], latest: str | None, properties: dict[str, object] | None) -> str:
+    def _view(self, builder: ModelBuilder, state: tuple, name: str, need: list[str], latest: str | None) -> str:
         """A view of a model under a name of the engine's own, kept for later statements with the
         same columns, properties and time zone."""
-        key = (name, tuple(sorted(need)), latest, repr(sorted((properties or {}).items())), self.spark.conf.get("spark.sql.session.timeZone"))
+        key = (name, tuple(sorted(need)), latest, *state)
         if (found := self._views.get(key)) is not None:
             self._views.move_to_end(key)
             return found
-        builder = self.builder(properties)
+        builder.settled = True
         df = self._latest(builder, name, need, latest) if latest else builder.build(name, need)
         view = f"sparkloom_model_{next(_fresh)}"
         df.createOrReplaceTempView(view)
@@ -113,7 +124,6 @@ class Engine:
         Models and views that the statement names are CTEs in front of it, so the session's own
         views of these names are neither read nor touched.
         """
-        builder = self.builder(properties)
         sql = self._local(translate(sql)).strip().rstrip(";")
         rules, latest = self.manifest.graph.get("partitions") or {}, set()
         if self.policy.partitions:
@@ -127,6 +137,7 @@ class Engine:
         used = set().union(*(exprs.names(t) for t in text))
         every = any(self._star(t) for t in text)
         with self._zone(properties):
+            builder, state = self.builder(properties), self._state(properties)
             try:
                 heads: list[tuple[str, str]] = []
                 for name in self.manifest.models:
@@ -138,7 +149,7 @@ class Engine:
                     # With no column named, as in count(*), one plain column carries the rows.
                     plain = [c for c in seen if not model.column(c).calculated]
                     need = need or plain[:1] or seen
-                    view = self._view(name, need, rules[name]["column"] if name.lower() in latest else None, properties)
+                    view = self._view(builder, state, name, need, rules[name]["column"] if name.lower() in latest else None)
                     heads.append((name, f"SELECT * FROM {view}"))
                 for what in ("tables", "columns"):
                     if f"information_schema_{what}" in used:
@@ -260,8 +271,8 @@ class Engine:
 
     def ask(self, question: str, *, anchor: str | None = None, dates: tuple[str, str] | None = None, properties: dict[str, object] | None = None) -> DataFrame:
         """Answers a question over global metrics and dimensions; unclear ones are errors."""
-        planner = graphs.GraphPlanner(self.manifest, self.builder(properties))
         with self._zone(properties):
+            planner = graphs.GraphPlanner(self.manifest, self.builder(properties))
             return planner.run(questions.resolve(planner, question, anchor=anchor, dates=dates).request)
 
     def ask_cube(self, question: str, properties: dict[str, object] | None = None) -> DataFrame:
