@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,58 +44,6 @@ def read_rows(spark: SparkSession, text: str, schema: T.StructType | str | None
     return spark.createDataFrame(rows, schema) if rows or schema else spark.createDataFrame([], T.StructType())
 
 
-def read_jdbc(driver: str, prefix: str) -> Callable[..., DataFrame]:
-    def read(spark: SparkSession, *, url: str, table: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
-        """``partition`` (column, low, high, n) reads in n parallel ranges; filters are pushed down."""
-        if not url.startswith(prefix):
-            raise SourceError(f"{url} doesn't start with {prefix}")
-        r = spark.read.format("jdbc").options(url=url, dbtable=table, driver=driver, **options)
-        if partition:
-            col, low, high, n = partition
-            r = r.options(partitionColumn=col, lowerBound=low, upperBound=high, numPartitions=n)
-        return r.load()
-
-    return read
-
-
-def read_format(name: str) -> Callable[..., DataFrame]:
-    def read(spark: SparkSession, **options: str) -> DataFrame:
-        path = options.pop("path", None)
-        r = spark.read.format(name).options(**options)
-        return r.load(path) if path else r.load()
-
-    return read
-
-
-def read_native(spark: SparkSession, *, table: str, **_: str) -> DataFrame:
-    return spark.table(table)
-
-
-def read_files(spark: SparkSession, *, url: str, format: str = "parquet", **options: str) -> DataFrame:
-    """Files on any Hadoop file system: local, s3a, gs, abfss, http."""
-    return spark.read.format(format).options(**options).load(url)
-
-
-#: Data source kinds, each with its reader.
-CONNECTORS: dict[str, Callable[..., DataFrame]] = {
-    "local_file": read_files, "s3_file": read_files, "minio_file": read_files, "gcs_file": read_files, "datafusion": read_files,
-    "duckdb": read_jdbc("org.duckdb.DuckDBDriver", "jdbc:duckdb:"),
-    "postgres": read_jdbc("org.postgresql.Driver", "jdbc:postgresql:"), "redshift": read_jdbc("com.amazon.redshift.jdbc42.Driver", "jdbc:redshift:"),
-    "mysql": read_jdbc("com.mysql.cj.jdbc.Driver", "jdbc:mysql:"), "doris": read_jdbc("com.mysql.cj.jdbc.Driver", "jdbc:mysql:"),
-    "mssql": read_jdbc("com.microsoft.sqlserver.jdbc.SQLServerDriver", "jdbc:sqlserver:"), "oracle": read_jdbc("oracle.jdbc.OracleDriver", "jdbc:oracle:"),
-    "clickhouse": read_jdbc("com.clickhouse.jdbc.ClickHouseDriver", "jdbc:clickhouse:"), "trino": read_jdbc("io.trino.jdbc.TrinoDriver", "jdbc:trino:"),
-    "athena": read_jdbc("com.amazon.athena.jdbc.AthenaDriver", "jdbc:athena:"), "canner": read_jdbc("org.postgresql.Driver", "jdbc:postgresql:"),
-    "maxcompute": read_jdbc("com.aliyun.odps.jdbc.OdpsDriver", "jdbc:odps:"),
-    "bigquery": read_format("bigquery"), "snowflake": read_format("snowflake"), "databricks": read_native, "spark": read_native,
-}
-
-
-def connect(spark: SparkSession, kind: str, **options) -> DataFrame:
-    if kind not in CONNECTORS:
-        raise SourceError(f"unknown data source {kind}")
-    return CONNECTORS[kind](spark, **options)
-
-
 def discover(spark: SparkSession, folder: str, suffix: str = "parquet") -> dict[str, DataFrame]:
     """Every ``*.parquet`` or ``*.csv`` of a folder, by stem; an error if there is none."""
     jvm = spark._jvm

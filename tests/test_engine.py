@@ -162,8 +162,6 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in readers.to_json_rows(df).collect()] == ['{"k":1,"v":"a"}', '{"k":2,"v":null}']
     with pytest.raises(readers.SourceError):
         readers.discover(spark, f"file://{tmp_path}", "orc")
-    with pytest.raises(readers.SourceError):
-        readers.connect(spark, "nothing")
     assert readers.read_rows(spark, '[{"a": 1}]').collect()[0]["a"] == 1
     new = spark.createDataFrame([(1, 2)], "k bigint, w int").schema
     assert {c[0] for c in readers.drift(df.schema, new)} == {"added", "removed", "type_changed"}
