@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -182,9 +184,11 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
                 out.append(Node(begin + lead, begin + lead + len(piece), piece, -1))
     if out:
         gone = _failed(text, base)
+        starts, reach = [a for a, _ in gone], list(accumulate((b for _, b in gone), max))
         for n in out:
             n.cue = _cue(text, n.start)
-            n.open = any(a <= n.start and n.stop <= b for a, b in gone)
+            k = bisect_right(starts, n.start) - 1
+            n.open = k >= 0 and n.stop <= reach[k]
     for n in held:
         n.cue = _cue(text, n.start)
     out += held
@@ -262,27 +266,36 @@ class SkipChainModel:
 
     def marginals(self, nodes: list[Node], rounds: int = 30) -> np.ndarray:
         """Loopy sum-product over the chain and the skip edges: a row of label probabilities a node."""
-        phi, edges, pots = self.graph(nodes)
+        phi, edges, _ = self.graph(nodes)
         belief = phi
         if edges:
-            a = np.array([e[0] for e in edges] + [e[1] for e in edges])
-            b = np.array([e[1] for e in edges] + [e[0] for e in edges])
-            psi = np.stack(pots + [p.T for p in pots])
-            k, back = len(edges), np.r_[np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))]
+            # Both directions of the chain's edges, then of the skip edges, follow each other.
+            ends, k, c = np.array(edges), len(edges), len(nodes) - 1
+            a, b = np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]]
+            back = np.r_[np.arange(k, 2 * k), np.arange(k)]
+            chain, skip = np.exp(np.array(self.chain)), np.exp(self.skip * np.eye(phi.shape[1]))
+            parts = ((slice(0, c), chain), (slice(c, k), skip), (slice(k, k + c), chain.T), (slice(k + c, 2 * k), skip))
+            order = np.argsort(b, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0])
+            met = b[order][first]
             msg = np.zeros((2 * k, phi.shape[1]))
+
+            def beliefs() -> np.ndarray:
+                out = phi.copy()
+                out[met] += np.add.reduceat(msg[order], first, axis=0)
+                return out
+
             for _ in range(rounds):
-                belief = phi.copy()
-                np.add.at(belief, b, msg)
-                joint = (belief[a] - msg[back])[:, :, None] + psi
-                top = joint.max(axis=1, keepdims=True)
-                new = (top + np.log(np.exp(joint - top).sum(axis=1, keepdims=True)))[:, 0, :]
+                out = beliefs()[a] - msg[back]
+                out = np.exp(out - out.max(axis=1, keepdims=True))
+                new = np.concatenate([out[part] @ tie for part, tie in parts])
+                new = np.log(new)
                 new -= new.max(axis=1, keepdims=True)
                 change = np.abs(new - msg).max()
                 msg = 0.5 * msg + 0.5 * new
                 if change < 1e-4:
                     break
-            belief = phi.copy()
-            np.add.at(belief, b, msg)
+            belief = beliefs()
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
