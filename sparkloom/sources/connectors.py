@@ -38,7 +38,7 @@ JDBC: dict[str, Jdbc] = {
     "oracle": Jdbc("oracle.jdbc.OracleDriver", "jdbc:oracle:thin:@//{host}:{port}/{database}", 1521, {}, "rownum"),
     "clickhouse": Jdbc("com.clickhouse.jdbc.ClickHouseDriver", "jdbc:clickhouse://{host}:{port}/{database}", 8123),
     "trino": Jdbc("io.trino.jdbc.TrinoDriver", "jdbc:trino://{host}:{port}/{catalog}/{schema}", 8080),
-    "canner": Jdbc("org.postgresql.Driver", "jdbc:postgresql://{host}:{port}/{workspace}", 7432),
+    "pg_workspace": Jdbc("org.postgresql.Driver", "jdbc:postgresql://{host}:{port}/{workspace}", 7432),
     "athena": Jdbc("com.amazon.athena.jdbc.AthenaDriver", "jdbc:athena://Region={region};OutputLocation={staging}"),
     "maxcompute": Jdbc("com.aliyun.odps.jdbc.OdpsDriver", "jdbc:odps:{endpoint}?project={project}"),
     "duckdb": Jdbc("org.duckdb.DuckDBDriver", "jdbc:duckdb:{path}", None, {"duckdb.read_only": "true"}),

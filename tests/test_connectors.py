@@ -15,7 +15,7 @@ INFO = {
     "mysql": ({"host": "h", "database": "d", "port": 3307}, "jdbc:mysql://h:3307/d"), "doris": ({"host": "h", "database": "d"}, "jdbc:mysql://h:9030/d"),
     "mssql": ({"host": "h", "database": "d"}, "jdbc:sqlserver://h:1433;databaseName=d"), "oracle": ({"host": "h", "database": "s"}, "jdbc:oracle:thin:@//h:1521/s"),
     "clickhouse": ({"host": "h", "database": "d"}, "jdbc:clickhouse://h:8123/d"), "trino": ({"host": "h", "catalog": "c"}, "jdbc:trino://h:8080/c/default"),
-    "canner": ({"host": "h", "workspace": "w"}, "jdbc:postgresql://h:7432/w"), "athena": ({"region": "r", "staging": "s3://b/x"}, "jdbc:athena://Region=r;OutputLocation=s3://b/x"),
+    "pg_workspace": ({"host": "h", "workspace": "w"}, "jdbc:postgresql://h:7432/w"), "athena": ({"region": "r", "staging": "s3://b/x"}, "jdbc:athena://Region=r;OutputLocation=s3://b/x"),
     "maxcompute": ({"endpoint": "https://e/api", "project": "p"}, "jdbc:odps:https://e/api?project=p"), "duckdb": ({"path": "/tmp/x.duckdb"}, "jdbc:duckdb:/tmp/x.duckdb"),
 }
 
