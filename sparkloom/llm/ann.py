@@ -150,7 +150,7 @@ def nearest(
     part. A cosine needs vectors of one length, so each length is searched by itself. Equal vectors
     are searched once: of each distinct vector the k + 1 smallest ids stay, as no more can be among
     the k nearest of any query, so a vector that a third of all rows share costs one row. Repeated
-    rows (same id and vector) count once. The index is fitted on ``least_sample`` distinct vectors
+    rows (same id and vector) count once. Every query gets k rows, if there are as many. The index is fitted on ``least_sample`` distinct vectors
     or eight for each list, about ``most_sample`` at the most; lists grow with the square root of
     the rows, every distinct vector is in one, and lists beyond ``list_rows`` are scanned in several
     tasks. Scores are cosines of the original vectors in double precision; ties go to the smaller
@@ -208,25 +208,33 @@ def _search(own: DataFrame, rows: DataFrame, d: int, total: int, k: int, every:
                 b = batch.slice(at, 256)
                 x = np.asarray(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, d)
                 u = unit_rows(x)
-                order = np.argsort(-(u @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
-                n = order.shape[1]
+                order = np.argsort(-(u @ ix.centroids.T), axis=1, kind="stable")
+                # A query takes whatever there is in its three nearest lists, and in so many that k + 1
+                # vectors are in them: so it has k results, though its true ones may lie elsewhere.
+                held, place = np.cumsum(sizes[order], axis=1), np.arange(order.shape[1])
+                need = np.where(held[:, -1] > k, np.argmax(held > k, axis=1), len(place) - 1)
+                last = np.minimum(np.maximum(ix.probes, need + 1), len(place))
+                asked_lists, free = place < last[:, None], place <= np.maximum(need, 2)[:, None]
                 near = np.sort(2 - 2 * (u @ ix.anchors.T), axis=1)
                 bound = near[:, k] if near.shape[1] > k + 1 else np.full(len(u), 5.0)
                 raw = [r.tobytes() for r in np.ascontiguousarray(x)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(order.ravel().astype(np.int32)),
-                        pa.array(np.repeat(b.column(0).to_numpy(), n)),
-                        pa.array(np.repeat(bound, n)),
-                        pa.array([r for r in raw for _ in range(n)], pa.binary()),
+                        pa.array(order[asked_lists].astype(np.int32)),
+                        pa.array(np.repeat(b.column(0).to_numpy(), last)),
+                        pa.array(np.where(free, 5.0, bound[:, None])[asked_lists]),
+                        pa.array([r for r, n in zip(raw, last.tolist()) for _ in range(n)], pa.binary()),
                     ],
                     names=["list", "q", "bound", "v"],
                 )
 
     lists = staged(own.select("h", "ids", "v").mapInArrow(place, "list int, h long, first long, v binary"), "lists")
-    counts = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("parts"))
+    counts = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
     # One row a list.
     counts = counts.collect()
+    sizes = np.zeros(len(index.centroids), np.int64)
+    sizes[[r["list"] for r in counts]] = [r["n"] for r in counts]
+    counts = [(r["list"], r["parts"]) for r in counts]
     parts = spark.createDataFrame(counts, "list int, parts int")
     dealt = lists.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "h", "first", "v")
     asked = rows.filter(F.col("id") % every == 0).select("id", "h").distinct()

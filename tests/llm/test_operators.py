@@ -92,6 +92,7 @@ def test_op1_recall_of_the_probed_lists(spark):
     want = ann.brute_force(np.arange(6000), x).groupby("query_id").vec_id.apply(set)
     for more in ({}, {"least_sample": 1000, "list_rows": 40}):
         got = ann.nearest(df, **more).toPandas().groupby("query_id").vec_id.apply(set)
+        assert len(got) == len(want) and all(len(x) == 5 for x in got)
         assert sum(len(got[q] & want[q]) for q in want.index) >= 0.9 * 5 * len(want)
 
 
