@@ -115,11 +115,16 @@ class SetJoin:
     def __init__(self, ids: list[int], sizes: np.ndarray, sets: list[np.ndarray], percent: int):
         self.ids, self.n, self.percent = ids, np.asarray(sizes, np.int64), percent
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        self.token, token = np.unique(flat, return_inverse=True)
-        df = np.bincount(token) if len(token) else np.empty(0, np.int64)
-        order = np.argsort(token, kind="stable")
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        # One sort and 32-bit numbers: a region of millions of shingles is one task's memory.
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+        self.token, df = flat[first], np.diff(np.r_[first, len(flat)])
+        token = np.empty(len(flat), np.int32)
+        token[order] = np.repeat(np.arange(len(first), dtype=np.int32), df)
         self.posting = doc[order]
+        del flat, order
         self.cut = np.r_[0, np.cumsum(df)]
         self.of = np.split(token, np.cumsum([len(s) for s in sets])[:-1]) if sets else []
         weight = np.bincount(doc, df[token], len(sets)) if len(token) else np.zeros(len(sets))
@@ -210,7 +215,8 @@ def split_region(rows: DataFrame, weight: DataFrame, *, percent: int, bound: int
     links to it and is in its cell; by the triangle inequality whoever links with a cell's document
     is within 2t of the pivot, so that ring alone is copied to the cell and compared with it. Cells
     leave, the remainder goes on. What is left after the rounds is sparse: there each shared shingle
-    is a pivot of its own, and its sets are joined where it is one of their rarest. A cell or shingle that is
+    is a pivot of its own, and its sets are joined where it is one of their rarest, unless blocks of
+    the region are fewer copies (``join_sparse``). A cell or shingle that is
     itself over the bound is compared block by block. Nothing is left out, and no task holds more
     than about ``bound`` shingles.
     """
@@ -229,7 +235,8 @@ def split_region(rows: DataFrame, weight: DataFrame, *, percent: int, bound: int
 
         def place(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(p):
-                return pd.DataFrame({"root": [], "doc_id": [], "n": [], "shingles": [], "keys": [], "cell": [], "linked": [], "rings": []})
+                # A block without documents; of objects, as an empty column of floats is no list.
+                return pd.DataFrame(columns=["root", "doc_id", "n", "shingles", "keys", "cell", "linked", "rings"], dtype=object)
             p = p.sort_values("slot")
             both = _overlaps(_views(p["shingles"]), _views(x["shingles"]))
             union = x["n"].to_numpy()[:, None] + p["n"].to_numpy()[None, :] - both
@@ -251,17 +258,20 @@ def split_region(rows: DataFrame, weight: DataFrame, *, percent: int, bound: int
         size = lambda t, name: t.groupBy("root", "cell").agg(F.ceil(F.sum(F.length("shingles")) / (4.0 * bound)).cast("int").alias(name))
         # A row a cell that has both a document and a ring: at most ``pivots`` a large region.
         parts = staged(size(cells, "mine").join(size(rings, "theirs"), ["root", "cell"]), "parts")
-        deal = lambda t, own, other, p, q: (
-            t.join(F.broadcast(parts), ["root", "cell"]).withColumn(p, F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
-            .withColumn(q, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).groupBy("root", "cell", "i", "j")
-        )
+
+        def deal(t: DataFrame, own: str, other: str, p: str, q: str):
+            t = t.join(F.broadcast(parts), ["root", "cell"]).withColumn(p, F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
+            t = t.withColumn(q, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            # Columns of its own for each side: both come from one table, and a cogroup can't tell them apart.
+            t = t.select(*(F.col(c).alias(f"{own}_{c}") for c in ("root", "cell", "i", "j", "doc_id", "n", "shingles")))
+            return t.groupBy(*t.columns[:4])
 
         def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             a, b = [], []
             if len(x) and len(y):
-                n = x["n"].to_numpy()
-                join = SetJoin(x["doc_id"].tolist(), n, _views(x["shingles"]), percent)
-                for doc, size, o in zip(y["doc_id"], y["n"], join.shared_with(_views(y["shingles"]))):
+                n = x["mine_n"].to_numpy()
+                join = SetJoin(x["mine_doc_id"].tolist(), n, _views(x["mine_shingles"]), percent)
+                for doc, size, o in zip(y["theirs_doc_id"], y["theirs_n"], join.shared_with(_views(y["theirs_shingles"]))):
                     hit = np.flatnonzero(100 * o >= percent * (n + size - o))
                     if len(hit):
                         a.append(doc)
@@ -271,10 +281,31 @@ def split_region(rows: DataFrame, weight: DataFrame, *, percent: int, bound: int
         links.append(deal(cells, "mine", "theirs", "i", "j").cogroup(deal(rings, "theirs", "mine", "j", "i")).applyInPandas(meet, _PAIR))
         left = placed.filter("cell < 0").select("root", "doc_id", "n", "shingles", "keys")
         weight = staged(left.groupBy("root").agg((F.sum(F.length("shingles")) / 8).alias("w")), "weights")
-    by_key = left.select("doc_id", "n", "shingles", F.explode("keys").alias("root"))
-    sizes = by_key.groupBy("root").agg((F.sum(F.length("shingles")) / 8).alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    links.append(join_blocks(by_key.join(staged(sizes, "keys"), "root"), percent=percent, bound=bound, tasks=tasks))
-    return links
+    return [*links, *join_sparse(left, weight, percent=percent, bound=bound, tasks=tasks)]
+
+
+def join_sparse(rows: DataFrame, weight: DataFrame, *, percent: int, bound: int, tasks: int) -> list[DataFrame]:
+    """Links within large regions, as for ``split_region``, in whichever form copies fewer shingles
+    of a region: by its keys, or in blocks of half the bound, each pair of blocks a task.
+
+    Keys that the same rows have are one key: near copies share many, and would be joined in each.
+    """
+    # Each row once: an equal one would cancel its mark in the sums that tell keys apart.
+    rows = staged(rows.withColumn("row", F.xxhash64("doc_id", "n", "shingles")).dropDuplicates(["row"]), "sparse")
+    keys = rows.select("root", "row", (F.length("shingles") / 8).alias("size"), F.explode("keys").alias("key"))
+    same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    shared = keys.groupBy("root", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w"), *same).filter("c > 1")
+    shared = staged(shared.groupBy("root", "c", "s1", "s2").agg(F.min("key").alias("key"), F.min("w").alias("w")), "keys")
+    # A row a region. One without a key of two rows has no links.
+    copies = shared.groupBy("root").agg(F.sum("w").alias("copied")).join(weight, "root")
+    blocks = F.when(F.col("w") > bound, F.ceil(2 * F.col("w") / bound)).otherwise(1)
+    copies = staged(copies.select("root", "w", (F.col("w") * blocks <= F.col("copied")).alias("whole")), "copies")
+    columns = ("root", "doc_id", "n", "shingles", "w")
+    inside = rows.drop("keys").join(F.broadcast(copies.filter("whole").select("root", "w")), "root").select(*columns)
+    members = keys.select("root", "row", "key").join(shared.select("root", "key", "w"), ["root", "key"])
+    members = members.join(F.broadcast(copies.filter("not whole").select("root")), "root", "left_semi")
+    by_key = rows.select("row", "doc_id", "n", "shingles").join(members.select("row", F.col("key").alias("root"), "w"), "row").select(*columns)
+    return [join_blocks(t, percent=percent, bound=bound, tasks=tasks) for t in (inside, by_key)]
 
 
 def join_blocks(rows: DataFrame, *, percent: int, bound: int, tasks: int) -> DataFrame:

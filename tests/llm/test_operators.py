@@ -530,6 +530,48 @@ def test_op10_giant_region(spark):
         assert sorted(map(tuple, jaccard.join_sets(df, **more).collect())) == want, more
 
 
+def large_region(seed):
+    """Near copies of one text around passages that many others share: one region, dense and sparse."""
+    rng = random.Random(seed)
+    pool = [[f"p{k}x{j}" for j in range(12)] for k in range(12)]
+    texts = [sum((rng.choice(pool) for _ in range(4)), []) for _ in range(25)]
+    texts += [mutate(rng, pool[0] + pool[1] + pool[2] + pool[3], rng.choice([0, 0.02, 0.05])) for _ in range(15)]
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+def test_op10_splits_a_large_region(spark):
+    """Blocks without documents, and cells and rings of one table, in each round; then both forms of the rest."""
+    rows = large_region(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.join_sets(df, region_shingles=100, pivots=4)
+    assert sorted(map(tuple, got.collect())) == sorted(jaccard.brute_force(rows))
+
+
+def test_op10_sparse_rest_in_both_forms(spark):
+    rows = [(d, t.split()) for d, t in large_region(4)]
+    sets = [(d, {hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)}) for d, w in rows]
+    held = [s for _, s in sets for s in s]
+    of = lambda s: np.sort(np.array([x for x in s if held.count(x) > 1], np.int64).view(np.uint64))
+    rest = [(1, d, len(s), bytearray(of(s).tobytes()), of(s).view(np.int64).tolist()) for d, s in sets]
+    rest.append(rest[0])
+    df = spark.createDataFrame(rest, "root long, doc_id long, n long, shingles binary, keys array<long>")
+    want = {(a, b) for a, x in sets for b, y in sets if a != b and 100 * len(x & y) >= 75 * len(x | y)}
+    for weight in (1, 10**9):
+        root = {d: d for d, _ in sets}
+        heavy = spark.createDataFrame([(1, float(weight))], "root long, w double")
+        blocks, keyed = (j.collect() for j in jaccard.join_sparse(df, heavy, percent=75, bound=10**9, tasks=4))
+        assert blocks and not keyed if weight == 1 else keyed and not blocks
+        for _ in sets:
+            for a, b in blocks + keyed:
+                root[a] = root[b] = min(root[a], root[b])
+        assert all(root[a] == root[b] for a, b in want)
+        reached = {d: d for d, _ in sets}
+        for _ in sets:
+            for a, b in want:
+                reached[a] = reached[b] = min(reached[a], reached[b])
+        assert root == reached
+
+
 def test_op10_components_of_hubs(spark):
     from sparkloom.llm.components import components
 
