@@ -65,6 +65,15 @@ def test_ordered_aggregates_sort_nulls_last(spark):
     assert _rows(spark, "SELECT last_value(k ORDER BY v DESC, k ASC) AS a FROM t") == [(2,)]
 
 
+def test_ordered_aggregates_take_the_least_of_equal_rows(spark):
+    """As the SQL's arg_max and arg_min do, which keep the first row of a table in key order."""
+    text = "CASE k WHEN 1 THEN 'ab' WHEN 2 THEN 'b' ELSE 'a' END"
+    for value, least in (("k", 1), ("k - 2", -1), ("k * 0.5", 0.5), (text, "a"), ("nullif(k, 1)", 2)):
+        for order in ("k * 0", "k * 0 DESC", "k * 0, k * 0 DESC"):
+            got = _rows(spark, f"SELECT first_value({value} ORDER BY {order}) AS a, last_value({value} ORDER BY {order}) AS b FROM t")
+            assert got == [(least, least)], (value, order)
+
+
 def test_qualified_names_and_quoted_manifest_expressions(spark):
     assert _rows(spark, 'SELECT cat.own.t.twice FROM cat.own."t" WHERE own.t.k = 1') == [(10,)]
     assert _rows(spark, "SELECT k FROM t ORDER BY twice") == [(3,), (1,), (2,)]
