@@ -600,6 +600,15 @@ def test_pipeline(spark):
     assert p.run(spark, d).count() > 0
 
 
+def test_pipeline_near_duplicates_of_a_large_region(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    monkeypatch.setitem(jaccard.join_sets.__kwdefaults__, "region_shingles", 100)
+    rows = large_region(5)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == {c for _, _, c in jaccard.brute_force(rows)}
+
+
 def test_pipeline_odd_inputs(spark, odd, empty, tmp_path):
     import corpus_pipeline as p
 
