@@ -332,7 +332,7 @@ def join_blocks(rows: DataFrame, *, percent: int, bound: int, tasks: int) -> Dat
 
 def join_sets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
-    most_broadcast: int = 1_000_000, region_shingles: int = 8_000_000, bucket_bytes: int = 128 << 20,
+    most_broadcast: int = 1_000_000, region_shingles: int = 2_000_000, bucket_bytes: int = 128 << 20,
     rounds: int = 2, pivots: int = 32,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row with an id.

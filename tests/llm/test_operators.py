@@ -609,6 +609,21 @@ def test_pipeline_near_duplicates_of_a_large_region(spark, monkeypatch):
     assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == {c for _, _, c in jaccard.brute_force(rows)}
 
 
+def test_pipeline_near_duplicates_memory_of_a_task():
+    """A region at the bound of near_duplicates leaves the executor room for other stages' heap and a second worker."""
+    import tracemalloc
+
+    bound = jaccard.join_sets.__kwdefaults__["region_shingles"]
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, bound // 2, 2000).astype(np.uint64)) for _ in range(bound // 2000)]
+    tracemalloc.start()
+    try:
+        jaccard.SetJoin(list(range(len(sets))), [len(s) for s in sets], sets, 75)
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_pipeline_odd_inputs(spark, odd, empty, tmp_path):
     import corpus_pipeline as p
 
